@@ -142,7 +142,7 @@ def common_words(rows: DataFrame, least_words: int, share: float = COMMON) -> np
             if len(codes) > 2_000_000:  # a bounded table: pass the counts on and begin again
                 yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts), pa.array(np.zeros(len(codes), bool))], names=["code", "n", "total"])
                 codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, 0).astype(np.uint64).view(np.int64)), pa.array(np.append(counts, texts)), pa.array(np.arange(len(codes) + 1) == len(codes))], names=["code", "n", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, np.uint64(0)).view(np.int64)), pa.array(np.append(counts, texts)), pa.array(np.arange(len(codes) + 1) == len(codes))], names=["code", "n", "total"])
 
     counted = rows.mapInArrow(count, "code long, n long, total boolean").groupBy("code", "total").agg(F.sum("n").alias("n"))
     path = new_path(rows.sparkSession, "words")
