@@ -2,7 +2,7 @@
 
 A fingerprint is BLOCKS x WIDTH min-hash components over the text's words (a word that occurs k times counts as k members).
 Two fingerprints differ in a share of 1 - s of the components for texts of similarity s, so close ones leave whole blocks
-untouched: with s of 0.7, 0.75 and 0.8 a pair shares a block with probability 0.994, 0.9995 and 0.99999. Pairs that share one
+untouched: with s of 0.7, 0.75 and 0.8 a pair shares a block with probability 0.9987, 0.99994 and 0.9999994. Pairs that share one
 are verified by the Hamming distance of the components' lowest bits, and the few that are left by the exact similarity of their words.
 
 Words that stand in more than COMMON of the texts are left out of the fingerprints (never of the exact similarity): they say nothing of
@@ -24,12 +24,12 @@ from strataflow.operators.bloom import bloom_filter, might_contain
 from strataflow.storage import discard, new_path, stage
 
 SIMILARITY, LEAST_WORDS = 0.7, 12
-BLOCKS, WIDTH = 28, 5
+BLOCKS, WIDTH = 36, 5
 COMMON = 0.05
 #: Texts with fewer uncommon members than MANY also have a fingerprint over all words; with fewer than FEW only that.
 FEW, MANY = 6, 12
-#: Largest Hamming distance of BLOCKS * WIDTH one-bit components. At similarity 0.6 of the uncommon words 28 differ on average, with deviation 4.7.
-DISTANCE = 46
+#: Largest Hamming distance of BLOCKS * WIDTH one-bit components. At similarity 0.6 of the uncommon words 36 differ on average, with deviation 5.4.
+DISTANCE = 56
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import lookalikes, nearcopies, packing, tokens
+from strataflow.llm import abuse, encodings, lookalikes, nearcopies, packing, tokens
 from strataflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,29 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nearcopies.copy_groups(table(spark, folder, "paragraphs"))
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score_documents(table(spark, folder, "documents")).where("abusive").select("doc_id").distinct()
+
+
+@query
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates_by_source(abuse.score_documents(table(spark, folder, "documents")))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = encodings.repaired_texts(table(spark, folder, "pdf_extractions"), table(spark, folder, "pdf_items"))
+    return found.select("extraction_id", "item_no").distinct()
+
+
+@query
+def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.repaired_texts(table(spark, folder, "pdf_extractions"), table(spark, folder, "pdf_items"))
