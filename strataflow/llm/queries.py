@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import abuse, encodings, lookalikes, nearcopies, packing, tokens
+from strataflow.llm import abuse, encodings, lookalikes, nearcopies, packing, scans, tokens
 from strataflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
     return encodings.repaired_texts(table(spark, folder, "pdf_extractions"), table(spark, folder, "pdf_items"))
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.scan_noise(table(spark, folder, "pdf_extractions"))
+
+
+@query
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.readable_texts(table(spark, folder, "pdf_extractions"))
