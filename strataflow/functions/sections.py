@@ -24,3 +24,25 @@ def canonical_section(text: Column) -> Column:
     suffix = F.when(F.length(digits) == 6, "").when(F.length(digits) == 8, F.concat(F.lit("."), F.substring(digits, 7, 2)))
     suffix = suffix.otherwise(F.concat(F.lit("."), F.substring(digits, 7, 2), F.lit(" "), F.substring(digits, 9, 2)))
     return F.when(digits.rlike("^([0-9]{6}|[0-9]{8}|[0-9]{10})$"), F.concat(six, suffix)).otherwise(clean)
+
+
+def section_format(raw: Column) -> Column:
+    """How a section number is written: canonical, dots, compact, spaced-compact, or null where it is none."""
+    text = plain_spaces(raw)
+    return (
+        F.when(text.rlike(r"^\d{2} \d{2} \d{2}(\.\d{2}( \d{2})?)?$"), "canonical")
+        .when(text.rlike(r"^\d{2}\.\d{2}\.\d{2}(\.\d{2}( \d{2})?)?$"), "dots")
+        .when(text.rlike(r"^\d{6}(\.\d{2}( \d{2})?)?$"), "compact")
+        .when(text.rlike(r"^\d{2} \d{4}(\.\d{2}( \d{2})?)?$"), "spaced-compact")
+    )
+
+
+def format_section(canonical: Column, style: str) -> Column:
+    """A canonical number in another style; suffixes are kept and other texts pass through."""
+    order = {"dots": "$1.$2.$3$4", "compact": "$1$2$3$4", "spaced-compact": "$1 $2$3$4"}.get(style, "$1 $2 $3$4")
+    return F.regexp_replace(canonical, r"^(\d{2}) (\d{2}) (\d{2})((?:\.\d{2}(?: \d{2})?)?)$", order)
+
+
+def section_numbers_in(text: Column) -> Column:
+    """All canonical section numbers in prose, in order."""
+    return F.regexp_extract_all(text, F.lit(r"\b([0-9]{2} [0-9]{2} [0-9]{2}(?:\.[0-9]{2}(?: [0-9]{2})?)?)\b"), F.lit(1))
