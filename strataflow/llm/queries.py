@@ -88,3 +88,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
     return scans.readable_texts(table(spark, folder, "pdf_extractions"))
+
+_TWINS = "".join(theirs for theirs, _ in lookalikes.TWINS.values())
+_INVISIBLE = "\\x{00AD}\\x{034F}\\x{061C}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}\\x{FE00}-\\x{FE0F}"
+SQL["p4_found"] = f"""WITH t AS (SELECT DISTINCT paragraph_id, 0 AS comment_no, text FROM paragraphs UNION SELECT paragraph_id, generate_subscripts(comments, 1)::INTEGER, unnest([c.text for c in comments]) FROM paragraphs)
+SELECT DISTINCT paragraph_id, comment_no FROM t WHERE regexp_matches(text, '[\\x{{FF01}}-\\x{{FF5E}}\\x{{FFE0}}-\\x{{FFE6}}\\x{{FB00}}-\\x{{FB06}}\\x{{FB13}}-\\x{{FB17}}]') OR regexp_matches(text, '\\p{{L}}[\\x{{0300}}-\\x{{036F}}]')
+OR regexp_matches(text, '[{_INVISIBLE}]') OR regexp_matches(text, '[\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{2010}}\\x{{2011}}\\x{{FE63}}]')
+OR regexp_matches(text, '\\p{{Latin}}[\\p{{L}}\\p{{M}}]*[{_TWINS}]') OR regexp_matches(text, '[{_TWINS}][\\p{{L}}\\p{{M}}]*\\p{{Latin}}')"""
