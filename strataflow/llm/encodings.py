@@ -3,7 +3,7 @@
 A hidden Markov model has a clean state, one state per encoding pair and one for lost characters. Plain ASCII says nothing of the state, so
 its steps are the runs of other characters. A state emits a run with the probability that clean text has what the state's inverse transform makes
 of it, between its neighbours; the most likely path labels the runs and each labelled run gets its state's inverse transform. The
-probabilities are counted over all extraction texts: first over runs that no inverse transform can read, then over runs found clean.
+probabilities are counted over all extraction texts: first over runs that no inverse transform can read, then twice over runs found clean.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ PAIRS = (
 CLEAN, LOST = 0, len(PAIRS) + 1
 #: Log probabilities: of entering and leaving a garbled state, of a sequence that lost its end, of a character that its state can't read, and the least of a character.
 ENTER, LEAVE, CUT, UNREAD, LEAST = -3.5, -1.5, -6.0, -8.0, math.log(2e-5)
+#: Texts that must be in a one-byte state in training, and what entering it costs more otherwise.
+SUPPORT, UNSEEN, STATE = 2, -4.0, "\x01"
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: What a non-breaking space may have become in a garbled sequence.
 BLANK = " "
@@ -121,15 +123,28 @@ def runs_of(text: str) -> Iterator[tuple[int, int, str, str, str]]:
         yield a, b, m[0], kind(text[a - 1 : a]), kind(text[b : b + 1])
 
 
+def _likely(char: str) -> bool:
+    """A character of the scripts and symbols that garbled text is made of."""
+    return char == "�" or ord(char) < 0x530 or 0x2000 <= ord(char) < 0x2C00 or ord(char) >= 0x3040
+
+
 def _odd(run: str) -> bool:
-    """Whether some UTF-8 state can read a part of the run, or a character is lost or a control character."""
-    return any(c == "�" or "\x80" <= c <= "\x9f" for c in run) or (len(run) > 1 and any(any(good for _, good in _utf8(run, seen)) for seen in {p[1] for p in PAIRS if p[0] == "utf-8"}))
+    """Whether some UTF-8 state can read a part of the run as something likely, or a character is lost or a control character."""
+    if any(c == "�" or "\x80" <= c <= "\x9f" for c in run):
+        return True
+    return len(run) > 1 and any(any(good and _likely(char) for char, good in _utf8(run, seen)) for seen in {p[1] for p in PAIRS if p[0] == "utf-8"})
 
 
 class Model:
-    def __init__(self, counts: dict[str, int] | None) -> None:
-        self.total = max(1, sum(counts.values())) if counts else 1
-        self.log = {k: max(LEAST, math.log(n / self.total)) for k, n in (counts or {}).items()}
+    def __init__(self, counts: dict[str, int]) -> None:
+        grams = {k: n for k, n in counts.items() if k[0] != STATE}
+        self.total = max(1, sum(grams.values()))
+        # Two occurrences are taken off each, lest a garbled text vouch for itself.
+        self.log = {k: max(LEAST, math.log((n - 2) / self.total)) for k, n in grams.items() if n > 2}
+        # A one-byte state that hardly any text is in needs more evidence; UTF-8 sequences are evidence by themselves.
+        seen = [counts.get(f"{STATE}{s}", 0) for s in range(LOST + 1)]
+        rare = [CLEAN < s < LOST and PAIRS[s - 1][0] != "utf-8" and seen[s] < SUPPORT for s in range(LOST + 1)]
+        self.enter = [0.0 if s == CLEAN else ENTER + (UNSEEN if rare[s] else 0.0) for s in range(LOST + 1)]
         self.store: dict[tuple[str, str, str], list[float]] = {}
 
     def emissions(self, run: str, before: str, after: str) -> list[float]:
@@ -164,7 +179,7 @@ class Model:
         if not runs:
             return []
         states = range(LOST + 1)
-        score = [0.0 if s == CLEAN else ENTER for s in states]
+        score = list(self.enter)
         back: list[list[int]] = []
         for n, (_, _, run, before, after) in enumerate(runs):
             emit = self.emissions(run, before, after)
@@ -174,7 +189,7 @@ class Model:
                 step, new = [], []
                 for s in states:
                     # From the clean state, from any other by way of it, or staying.
-                    options = ((score[s], s), (clean + (ENTER if s else 0.0), CLEAN), (score[best] + (LEAVE if best else 0.0) + (ENTER if s else 0.0), best))
+                    options = ((score[s], s), (clean + self.enter[s], CLEAN), (score[best] + (LEAVE if best else 0.0) + self.enter[s], best))
                     value, origin = max(options)
                     new.append(value + emit[s])
                     step.append(origin)
@@ -213,7 +228,7 @@ def _beyond_ascii(text: str):
 
 
 def train(texts: DataFrame) -> dict[str, int]:
-    """Counts of (neighbour classes, character) over all texts, in two rounds. Its size is that of the alphabet in use, not of the data."""
+    """Counts of (neighbour classes, character) over all texts, in three rounds. Its size is that of the alphabet in use, not of the data."""
 
     def counted(model: Model | None) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +240,9 @@ def train(texts: DataFrame) -> dict[str, int]:
                             if not _odd(part):
                                 counts.update(g for g, _ in grams(read(part, CLEAN), before, after))
                     else:
-                        for _, _, part, state, before, after in model.label(text):
+                        labels = model.label(text)
+                        counts.update({f"{STATE}{state}" for _, _, part, state, _, _ in labels if changed(part, state)})
+                        for _, _, part, state, before, after in labels:
                             if state == CLEAN:
                                 counts.update(g for g, _ in grams(read(part, CLEAN), before, after))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
@@ -233,7 +250,7 @@ def train(texts: DataFrame) -> dict[str, int]:
         rows = texts.select("text").where(_beyond_ascii("text")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         return {r["gram"]: r["n"] for r in rows.toLocalIterator()}
 
-    return counted(Model(counted(None)))
+    return counted(Model(counted(Model(counted(None)))))
 
 
 @functools.lru_cache(maxsize=2)

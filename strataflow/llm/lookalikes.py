@@ -76,12 +76,31 @@ def tables() -> dict[str, np.ndarray]:
     keys = np.array([a << 21 | b for a, b, _ in pairs], np.int64)
     order = np.argsort(keys)
     length = np.ones(SIZE, np.uint8)
-    known = sorted(expand)
-    parts = np.zeros((len(known), 3), np.uint32)
+    apart = np.ones(SIZE, np.uint8)
+    split = {point: unicodedata.normalize("NFD", chr(point)) for *_, point in pairs}
+    return _parts(expand, length, "known", "parts") | _parts(split, apart, "composed", "pieces") | {        "kind": kind, "plain": plain, "rank": rank, "twin": twin, "pair": keys[order], "whole": np.array([c for *_, c in pairs], np.uint32)[order], "length": length, "apart": apart,
+    }
+
+
+def _parts(texts: dict[int, str], length: np.ndarray, keys: str, values: str) -> dict[str, np.ndarray]:
+    """A dense table of the texts that stand for some code points; fills in their lengths."""
+    known = sorted(texts)
+    parts = np.zeros((len(known), max(map(len, texts.values()), default=1)), np.uint32)
     for i, point in enumerate(known):
-        length[point] = len(expand[point])
-        parts[i, : len(expand[point])] = [ord(c) for c in expand[point]]
-    return {"kind": kind, "plain": plain, "rank": rank, "twin": twin, "pair": keys[order], "whole": np.array([c for *_, c in pairs], np.uint32)[order], "length": length, "known": np.array(known, np.uint32), "parts": parts}
+        length[point] = len(texts[point])
+        parts[i, : len(texts[point])] = [ord(c) for c in texts[point]]
+    return {keys: np.array(known, np.uint32), values: parts}
+
+
+def _expand(points: np.ndarray, rows: np.ndarray, length: np.ndarray, known: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gathers each code point's parts with expansion offsets; length says how many it has."""
+    ends = np.cumsum(length, dtype=np.int64)
+    source = np.repeat(np.arange(len(points)), length)
+    within = np.arange(ends[-1]) - np.repeat(ends - length, length)
+    many = length[source] > 1
+    out = points[source]
+    out[many] = parts[np.searchsorted(known, out[many]), within[many]]
+    return out, rows[source]
 
 
 def _latin_words(points: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -130,16 +149,16 @@ def unify(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     points = np.where(twins, t["twin"][points], t["plain"][points])[keep]
     rows = rows[keep]
     length = t["length"][points]
-    if (length > 1).any():  # ligatures: gather with expansion offsets
-        ends = np.cumsum(length, dtype=np.int64)
-        source = np.repeat(np.arange(len(points)), length)
-        within = np.arange(ends[-1]) - np.repeat(ends - length, length)
-        lig = length[source] > 1
-        out = points[source]
-        out[lig] = t["parts"][np.searchsorted(t["known"], out[lig]), within[lig]]
-        points, rows = out, rows[source]
+    if (length > 1).any():  # ligatures
+        points, rows = _expand(points, rows, length, t["known"], t["parts"])
     rank = t["rank"][points]
     if (rank > 0).any():  # marks: canonical order, then compose in rounds
+        marked = np.zeros(len(points), bool)
+        marked[:-1] = (rank[1:] > 0) & (rows[1:] == rows[:-1])
+        length = np.where(marked, t["apart"][points], 1)  # a composed letter before a mark comes apart first
+        if (length > 1).any():
+            points, rows = _expand(points, rows, length, t["composed"], t["pieces"])
+            rank = t["rank"][points]
         starter = np.cumsum((rank == 0) | np.concatenate(([True], rows[1:] != rows[:-1])))
         order = np.lexsort((rank, starter))
         points, rows, rank = points[order], rows[order], rank[order]

@@ -86,7 +86,7 @@ class Encoder:
         starts = bounds - bounds[0]
         raw = np.frombuffer(data, np.uint8)
         begins = self.cuts(raw, starts)
-        ends = np.append(begins[1:], len(raw))
+        ends = np.append(begins[1:], len(raw)) if len(begins) else begins
         fragments = [data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
         self._learn(set(fragments))
         place = np.fromiter(map(self.place.__getitem__, fragments), np.int64, len(fragments))
