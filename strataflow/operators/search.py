@@ -21,38 +21,49 @@ def parse(search: str) -> list[tuple[bool, list[str]]]:
     return parts
 
 
+def stem(word: str) -> str:
+    """The same as the column function of that name, for the few words of a query."""
+    undouble = lambda base: base[:-1] if len(base) > 1 and base[-1] == base[-2] and base[-1] not in "aeiou" else base
+    for suffix, least, rest in (("ing", 6, undouble), ("ied", 5, lambda b: b + "y"), ("ed", 5, undouble), ("ies", 5, lambda b: b + "y"), ("es", 4, str), ("s", 4, str)):
+        if word.endswith(suffix) and len(word) >= least:
+            return rest(word[: -len(suffix)])
+    return word
+
+
 def matching(paragraphs: DataFrame, search: str) -> DataFrame:
     """The paragraphs that a query matches, by the stems of their words. A query without words matches none."""
     parts = parse(search)
     if not any(wanted for wanted, _ in parts):
         return paragraphs.where(F.lit(False)).withColumn("words", F.array().cast("array<string>"))
-    rows = paragraphs.withColumn("words", F.transform(T.tokens(F.col("text")), T.stem))
+    rows = paragraphs
+    for wanted, words in parts:
+        for word in words if wanted else ():  # every form of a word begins with its stem but for a last y, so most texts are dropped before they are split
+            rows = rows.where(F.contains(F.lower("text"), F.lit(stem(word)[:-1] or word)))
+    rows = rows.withColumn("words", F.transform(T.tokens(F.col("text")), T.stem))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     for wanted, words in parts:
-        stems = F.array_join(F.transform(F.array(*map(F.lit, words)), T.stem), " ")
-        held = F.contains(joined, F.concat(F.lit(" "), stems, F.lit(" ")))
+        held = F.contains(joined, F.lit(f" {' '.join(map(stem, words))} "))
         rows = rows.where(held if wanted else ~held)
     return rows
 
 
 def counted(paragraphs: DataFrame, search: str, most: int = 20) -> DataFrame:
     """The best matches by the number of matching words, then section and id: a top-k, so each task keeps its own best before they meet."""
-    stems = F.transform(F.array(*[F.lit(w) for wanted, words in parse(search) if wanted for w in words] or [F.lit("")]), T.stem)
+    stems = [stem(w) for wanted, words in parse(search) if wanted for w in words] or [""]
     rows = matching(paragraphs, search)
-    rank = F.size(F.filter("words", lambda w: F.array_contains(stems, w)))
+    rank = F.size(F.filter("words", lambda w: w.isin(stems)))
     return rows.select("paragraph_id", "section", rank.alias("n_hits"), T.snippet(F.col("text"), parse(search)[0][1][0] if parse(search) else "").alias("snippet")).orderBy(F.desc("n_hits"), "section", "paragraph_id").limit(most)
 
 
 def cover_ranked(paragraphs: DataFrame, search: str, most: int = 20) -> DataFrame:
     """The best matches by cover density: the sum over the shortest stretches that hold all words of one over their length."""
-    wanted = [w for good, words in parse(search) if good for w in words]
-    rows = matching(paragraphs, search).withColumn("stems", F.transform(F.array(*map(F.lit, wanted)).cast("array<string>"), T.stem))
+    need = {stem(w) for good, words in parse(search) if good for w in words}
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks = []
-            for words, stems in zip(batch.column("words").to_pylist(), batch.column("stems").to_pylist(), strict=True):
-                need, last, total, at = set(stems), {}, 0.0, -1
+            for words in batch.column("words").to_pylist():
+                last, total, at = {}, 0.0, -1
                 for i, w in enumerate(words):
                     if w in need:
                         last[w] = i
@@ -62,4 +73,4 @@ def cover_ranked(paragraphs: DataFrame, search: str, most: int = 20) -> DataFram
                 ranks.append(round(total, 6))
             yield pa.RecordBatch.from_arrays([batch.column("paragraph_id"), batch.column("section"), pa.array(ranks, pa.float64())], names=["paragraph_id", "section", "rank"])
 
-    return rows.select("paragraph_id", "section", "words", "stems").mapInArrow(rank, "paragraph_id string, section string, rank double").orderBy(F.desc("rank"), "section", "paragraph_id").limit(most)
+    return matching(paragraphs, search).select("paragraph_id", "section", "words").mapInArrow(rank, "paragraph_id string, section string, rank double").orderBy(F.desc("rank"), "section", "paragraph_id").limit(most)
