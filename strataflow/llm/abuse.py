@@ -61,6 +61,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?…])[\s\"”]+")
 APART = re.compile(r"(?<![^\W_])(?:[a-z][ .\-_·]){2,}[a-z](?![^\W_])")
 TOKEN = re.compile(r"[a-z0-9@$*]+(?:![a-z0-9@$*]+)*")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 STORE = 300_000
 
 
@@ -149,19 +150,24 @@ class Matcher:
 
     def passages(self, text: str) -> Iterator[tuple[int, list[float]]]:
         """(words, weight by kind) of each sentence with words."""
+        store, fold = self.store.get, self.fold
         text = text.lower()
         if not text.isascii():
-            text = text.translate(folds()).lower()
+            text = BEYOND_ASCII.sub(lambda m: m[0].translate(folds()), text).lower()
         if APART.search(text):
             text = APART.sub(lambda m: self.joined(re.sub(r"[^a-z]", "", m[0])), text)
         for sentence in SENTENCE.split(text):
-            tokens = [self.fold(t) for t in TOKEN.findall(sentence)]
+            tokens = [store(t) or fold(t) for t in TOKEN.findall(sentence)]
             if not tokens:
                 continue
+            weight = [0.0] * len(KINDS)
+            hits = list(self.automaton.iter(f" {' '.join(tokens)} "))
+            if not hits:
+                yield len(tokens), weight
+                continue
             found, spared = [], []
-            for end, (entry, length) in self.automaton.iter(f" {' '.join(tokens)} "):
+            for end, (entry, length) in hits:
                 (spared if self.weights[entry][0] < 0 else found).append((end - length + 1, end, entry))
-            weight = [0.0] * len(KINDS)
             for entry in {e for a, b, e in found if not any(a < y and x < b for x, y, _ in spared)}:
                 kind, w = self.weights[entry]
                 weight[kind] += w
