@@ -26,7 +26,7 @@ PAIRS = (
 CLEAN, LOST = 0, len(PAIRS) + 1
 #: Log probabilities: of entering and leaving a garbled state, of a sequence that lost its end, of a character that its state can't read, and the least of a character.
 ENTER, LEAVE, CUT, UNREAD, LEAST = -3.5, -1.5, -6.0, -8.0, math.log(2e-5)
-#: Texts that must be in a one-byte state in training, and what entering it costs more otherwise.
+#: Texts that must be in a state in training, and what entering it costs more otherwise.
 SUPPORT, UNSEEN, STATE = 2, -4.0, "\x01"
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: What a non-breaking space may have become in a garbled sequence.
@@ -141,9 +141,9 @@ class Model:
         self.total = max(1, sum(grams.values()))
         # Two occurrences are taken off each, lest a garbled text vouch for itself.
         self.log = {k: max(LEAST, math.log((n - 2) / self.total)) for k, n in grams.items() if n > 2}
-        # A one-byte state that hardly any text is in needs more evidence; UTF-8 sequences are evidence by themselves.
+        # A state that hardly any text is in needs more evidence.
         seen = [counts.get(f"{STATE}{s}", 0) for s in range(LOST + 1)]
-        rare = [CLEAN < s < LOST and PAIRS[s - 1][0] != "utf-8" and seen[s] < SUPPORT for s in range(LOST + 1)]
+        rare = [CLEAN < s < LOST and seen[s] < SUPPORT for s in range(LOST + 1)]
         self.enter = [0.0 if s == CLEAN else ENTER + (UNSEEN if rare[s] else 0.0) for s in range(LOST + 1)]
         self.store: dict[tuple[str, str, str], list[float]] = {}
 
