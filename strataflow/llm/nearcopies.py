@@ -2,12 +2,12 @@
 
 A fingerprint is BLOCKS x WIDTH min-hash components over the text's words (a word that occurs k times counts as k members).
 Two fingerprints differ in a share of 1 - s of the components for texts of similarity s, so close ones leave whole blocks
-untouched: with s of 0.7, 0.75 and 0.8 a pair shares a block with probability 0.9987, 0.99994 and 0.9999994. Pairs that share one
-are verified by the Hamming distance of the components' lowest bits, and the few that are left by the exact similarity of their words.
+untouched: with s of 0.7, 0.75 and 0.8 a pair shares a block with probability 0.9987, 0.99994 and 0.9999994. Strangers that share one are
+dropped in the join by a bound that is exact (see ``_may_reach``); the other pairs are verified by the Hamming distance of the components' lowest bits, and the few that are left by the exact similarity of their words.
 
-Words that stand in more than COMMON of the texts are left out of the fingerprints (never of the exact similarity): they say nothing of
-copies and would fill blocks with strangers. There are at most (words per text) / COMMON of them, so their list is small. Texts
-with few other words have a second fingerprint over all their words.
+Words that stand in more than COMMON of the texts are left out of a second fingerprint (never of the exact similarity): they say little of
+copies. There are at most (words per text) / COMMON of them, so their list is small. The fingerprint over all words, which every text has,
+is the one that the probabilities above hold for, whatever words the edits fall on; the one over the uncommon words only adds to it.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from strataflow.storage import discard, new_path, stage
 SIMILARITY, LEAST_WORDS = 0.7, 12
 BLOCKS, WIDTH = 36, 5
 COMMON = 0.05
-#: Texts with fewer uncommon members than MANY also have a fingerprint over all words; with fewer than FEW only that.
-FEW, MANY = 6, 12
+#: Texts with at least FEW uncommon members, but not those alone, also have a fingerprint over these.
+FEW = 6
 #: Largest Hamming distance of BLOCKS * WIDTH one-bit components. At similarity 0.6 of the uncommon words 36 differ on average, with deviation 5.4.
 DISTANCE = 56
 WORD = re.compile(r"[^\W_]+")
@@ -86,18 +86,24 @@ def _hashes() -> tuple[np.ndarray, np.ndarray]:
     return random.integers(1, 2**63, BLOCKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 2**63, BLOCKS * WIDTH, dtype=np.uint64)
 
 
+def handles(member: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of each text: the parities of its members in 56 buckets, and their number (255: that or more)."""
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix(member * np.uint64(7)) % np.uint64(56)), offsets[:-1])
+    return (parity << np.uint64(8) | np.minimum(np.diff(offsets), 255).astype(np.uint64)).view(np.int64)
+
+
 def fingerprints(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks, bits) of each stretch of members beginning at starts: 48-bit block keys, and the components' lowest bits in three words."""
+    """(blocks, bits) of each stretch of members beginning at starts: 32-bit block keys, and the components' lowest bits in three words."""
     times, plus = _hashes()
     parts = np.empty((BLOCKS * WIDTH, len(starts)), np.uint64)
     for i in range(BLOCKS * WIDTH):
         parts[i] = np.minimum.reduceat((values * times[i] + plus[i]) >> np.uint64(24), starts)
-    blocks = np.empty((len(starts), BLOCKS), np.int64)
+    blocks = np.empty((len(starts), BLOCKS), np.int32)
     for b in range(BLOCKS):
         key = np.full(len(starts), b, np.uint64)
         for part in parts[b * WIDTH : (b + 1) * WIDTH]:
             key = mix(key * _MIX + part)
-        blocks[:, b] = (key >> np.uint64(16)).astype(np.int64)
+        blocks[:, b] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
     bits = np.zeros((3, len(starts)), np.uint64)
     for i in range(BLOCKS * WIDTH):
         bits[i // 64] |= (mix(parts[i]) & np.uint64(1)) << np.uint64(i % 64)
@@ -154,22 +160,22 @@ def common_words(rows: DataFrame, least_words: int, share: float = COMMON) -> np
     return np.sort(found.view(np.uint64))
 
 
-FINGERPRINT = "paragraph_id string, class binary, handle int, size int, bits_0 long, bits_1 long, bits_2 long, blocks array<long>"
+FINGERPRINT = "paragraph_id string, class binary, handle long, size int, bits_0 long, bits_1 long, bits_2 long, blocks array<int>"
 
 
 def fingerprint_rows(rows: DataFrame, common: np.ndarray, least_words: int) -> DataFrame:
-    """One or two fingerprints of each text. ``class`` is the same for texts of the same words; ``handle`` is 32 bits of it, for joins that a check follows."""
+    """A fingerprint of each text over all its words, and a second over its uncommon ones. ``class`` is the same for texts of the same words; ``handle`` has 64 bits of the words, for joins that a check follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, member, words, offsets = _long_enough(batch, least_words)
             if not len(ids):
                 continue
-            classes = _classes(member, offsets)
+            classes, handle = _classes(member, offsets), handles(member, offsets)
             place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
             rare = common[place] != words if len(common) else np.ones(len(words), bool)
             count = np.add.reduceat(rare.astype(np.int64), offsets[:-1])
-            for chosen, kept in ((count >= FEW, rare), (count < MANY, np.ones(len(words), bool))):
+            for chosen, kept in ((np.ones(len(ids), bool), np.ones(len(words), bool)), ((count >= FEW) & (count < np.diff(offsets)), rare)):
                 at = np.flatnonzero(chosen)
                 if not len(at):
                     continue
@@ -177,10 +183,9 @@ def fingerprint_rows(rows: DataFrame, common: np.ndarray, least_words: int) -> D
                 lengths = np.add.reduceat(kept.astype(np.int64), offsets[:-1])[at]
                 blocks, bits = fingerprints(member[kept], np.concatenate(([0], np.cumsum(lengths)[:-1])))
                 cls = [classes[16 * i : 16 * i + 16] for i in at.tolist()]
-                handle = np.frombuffer(b"".join(cls), "<i4")[::4]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), pa.array(cls, pa.binary()), pa.array(handle), pa.array(np.diff(offsets)[at].astype(np.int32)), *[pa.array(b) for b in bits], lists],
+                    [ids.take(pa.array(at)), pa.array(cls, pa.binary()), pa.array(handle[at]), pa.array(np.diff(offsets)[at].astype(np.int32)), *[pa.array(b) for b in bits], lists],
                     names=["paragraph_id", "class", "handle", "size", "bits_0", "bits_1", "bits_2", "blocks"],
                 )
 
@@ -206,6 +211,15 @@ def _could_reach(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
 
+def _may_reach(a: str, b: str, similarity: float) -> Column:
+    """Whether the words behind two handles can be as similar, by their numbers and parities alone: every member that only one text has changes one parity."""
+    size = lambda x: F.col(x).bitwiseAND(F.lit(255))
+    differing = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8))
+    least, greatest = F.least(size(a), size(b)), F.greatest(size(a), size(b))
+    bound = F.lit((1 - similarity) / (1 + similarity)) * (least + greatest) + F.lit(1e-6)
+    return (greatest == 255) | ((least >= F.lit(similarity) * greatest - F.lit(1e-6)) & (differing <= bound))
+
+
 def similar_classes(rows: DataFrame, prints: DataFrame, similarity: float, least_words: int) -> DataFrame:
     """(class_a, class_b): classes of different words whose similarity reaches the threshold, class_a < class_b.
 
@@ -214,7 +228,10 @@ def similar_classes(rows: DataFrame, prints: DataFrame, similarity: float, least
     spark = rows.sparkSession
     blocks = prints.select("handle", F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "handle"])
     other = blocks.select(F.col("block").alias("_block"), F.col("handle").alias("_handle"))
-    pairs = blocks.join(other, (F.col("block") == F.col("_block")) & (F.col("handle") < F.col("_handle"))).select("handle", "_handle").distinct()
+    pairs = blocks.join(other, (F.col("block") == F.col("_block")) & (F.col("handle") < F.col("_handle")) & _may_reach("handle", "_handle", similarity)).select("handle", "_handle").distinct()
+    # Texts of other words seldom have the same handle; those that do are pairs without a block.
+    alike = prints.groupBy("handle").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("handle", F.col("handle").alias("_handle"))
+    pairs = pairs.unionByName(alike)
     bits = prints.select("handle", "size", "bits_0", "bits_1", "bits_2", "class").dropDuplicates(["class", "bits_0"])
     named = lambda x: bits.select(*[F.col(c).alias(f"{x}{c}") for c in bits.columns])
     distance = sum((F.bit_count(F.col(f"a_bits_{i}").bitwiseXOR(F.col(f"b_bits_{i}"))) for i in range(3)), F.lit(0))

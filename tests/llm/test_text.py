@@ -134,6 +134,22 @@ def test_near_copies_against_brute_force(spark):
     assert nearcopies.similar_pairs(frame(spark, [], PARAGRAPH)).count() == 0
 
 
+def test_near_copies_of_a_template_with_long_edits(spark):
+    new = (f"own{i}" for i in range(10_000))
+    own = lambda n: [next(new) for _ in range(n)]
+    short, long, head = ([f"{name}{i}" for i in range(n)] for name, n in (("short", 30), ("long", 70), ("head", 12)))
+    texts = [short] + [short + own(12) for _ in range(19)] + [long + own(12) for _ in range(15)]
+    for _ in range(8):
+        texts.append(head + own(5))
+        texts.append(texts[-1] + own(7))
+    texts += [own(20) for _ in range(100)]
+    assert all(sum(x[0] == t[0] for t in texts) > nearcopies.COMMON * len(texts) for x in (short, long, head))
+    table = frame(spark, [(f"t{i:03d}", " ".join(t), None, "k", 1) for i, t in enumerate(texts)], PARAGRAPH)
+    wanted = {(f"t{i:03d}", f"t{j:03d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity(" ".join(texts[i]), " ".join(texts[j])) >= 0.7}
+    assert len(wanted) == 19 + 15 * 14 // 2 + 8
+    assert {tuple(r) for r in nearcopies.similar_pairs(table).collect()} == wanted
+
+
 def test_many_copies_make_one_class(spark):
     text = " ".join(f"w{i}" for i in range(20))
     data = [(f"c{i:04d}", text, None, "k", 1) for i in range(300)] + [("d", text + " extra", None, "k", 1)]
