@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strataflow.operators import tree as O
+from strataflow.plans import trees
 from strataflow.plans.registry import query
 from strataflow.sources import documents as D
 from strataflow.sources.tables import table
@@ -31,6 +33,35 @@ def sec_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.groupBy("source_id").agg(F.count_if((F.col("node_type") != "article")).alias("n_nodes"), F.sum(F.length("text")).alias("n_chars"))
 
 
+_WS = lambda c: f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query("sec_tree_round_trip", trees.CTE + f""", v AS (SELECT t.id, n.parent, t.depth, n.type, q.type AS parent_type, n.text, t.sort_key, r.spec, r.spec_section FROM t JOIN n ON n.id = t.id JOIN n r ON r.id = t.root_id LEFT JOIN n q ON q.id = n.parent WHERE NOT t.gone AND t.address NOT LIKE '%note:-/%'),
+w AS (SELECT *, id NOT IN (SELECT parent FROM v WHERE parent IS NOT NULL) AS bare, count(*) FILTER (depth = 0 AND type <> 'note') OVER (PARTITION BY spec ORDER BY sort_key) AS part_no, ['part', 'article', 'pr1', 'pr2', 'pr3', 'pr4', 'pr5', 'pr6', 'pr7'] AS ts FROM v),
+x AS (SELECT spec, CASE WHEN depth > 0 THEN ts[least(depth, 9)] END AS parent_type, CASE WHEN type = 'note' THEN 'note' WHEN depth > 1 AND bare AND list_position(ts, type) - list_position(ts, parent_type) >= 2 THEN ts[least(depth + 2, 9)] ELSE ts[least(depth + 1, 9)] END AS node_type, CASE WHEN depth = 0 AND type <> 'note' THEN trim('PART ' || part_no || ' ' || {_WS("text")}) ELSE {_WS("text")} END AS text FROM w),
+h AS (SELECT spec, {_WS("'SECTION ' || coalesce(max(spec_section), '')")} AS text FROM v GROUP BY spec UNION ALL SELECT spec, {_WS("max(title)")} FROM (SELECT DISTINCT spec FROM v) LEFT JOIN specs ON lower(spec_id) = spec GROUP BY spec)
+SELECT spec AS source_id, parent_type, node_type, count(*) AS n_nodes, sum(length(text))::BIGINT AS n_chars FROM (SELECT * FROM x UNION ALL SELECT spec, NULL, 'header', text FROM h) GROUP BY ALL""")
+def sec_tree_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spec's whole visible tree with its notes written as a SEC document and read again. Nodes on circles stand in no tree."""
+    nodes = D.parse_files(sec_trees(spark, folder), D.sec_nodes)
+    parents = nodes.select("source_id", F.col("node_no").alias("parent_no"), F.col("node_type").alias("parent_type"))
+    return nodes.join(parents, ["source_id", "parent_no"], "left").groupBy("source_id", "parent_type", "node_type").agg(F.count("*").alias("n_nodes"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def sec_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_id, content) of each spec. Vanished nodes other than notes are left out with all below them, as is what stands below a note."""
+    rows, paths = trees.nodes(spark, folder), trees.tree(spark, folder)
+    # One pass over the ancestors gives the key of O.preorder() as an array and all else that a node has from above.
+    steps = rows.select(F.col("id").alias("ancestor"), "type", F.concat(F.lpad(F.coalesce("position", F.lit(0)).cast("string"), 6, "0"), F.col("id")).alias("step"), (F.col("vanish") & (F.col("type") != "note")).alias("gone"), F.struct("spec", "spec_section").alias("root"))
+    found = O.ancestors(paths).join(steps, "ancestor").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "step", "type"))).alias("s"), F.max("gone").alias("gone"), F.max((F.col("type") == "note") & (F.col("id") != F.col("ancestor"))).alias("below_note"), F.max(F.when(F.col("at") == 0, F.col("root"))).alias("root")
+    )
+    found = found.where("NOT coalesce(gone, false) AND NOT coalesce(below_note, false)").select("id", F.col("root.spec").alias("source_id"), F.col("root.spec_section").alias("number"), F.col("s.step").alias("key"), (F.size("s") - 1).alias("depth"), F.try_element_at("s", F.lit(-2))["type"].alias("parent_type"))
+    lines = rows.select("id", "type", "text").join(found, "id")
+    titles = table(spark, folder, "specs").groupBy(F.lower("spec_id").alias("source_id")).agg(F.max("title").alias("title"))
+    return D.sec_documents(lines.select("source_id", "number", "key", "depth", "type", "parent_type", "text"), titles)
+
+
 @query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, s ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS n_rows FROM h GROUP BY user_id, n""")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -146,3 +146,29 @@ def sec_markup(title: Column, number: Column, paragraphs: Column) -> Column:
     """A SEC document of one part from a title, a section number and an array of paragraphs."""
     body = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<SPT><TXT>"), T.escape_markup(p), F.lit("</TXT></SPT>"))), "")
     return F.concat(F.lit("<SEC><SCN>"), T.escape_markup(number), F.lit("</SCN><STL>"), T.escape_markup(title), F.lit("</STL><PRT><TTL>PART 1 GENERAL</TTL>"), body, F.lit("</PRT></SEC>"))
+
+
+def sec_documents(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """(source_id, content): a SEC document of each whole tree, from (source_id, number, key, depth, type, parent_type, text) of its nodes and (source_id, title).
+
+    Nodes are ordered by the key, an array that begins with the parent's; close tags follow from the depths of neighbours. Roots are parts with their
+    number, notes are NTE. A node with nodes below it, and each right below a part, is an SPT; another is an LST, or an ITM two or more types below its parent.
+    """
+    order = Window.partitionBy("source_id").orderBy("key")
+    tier = lambda c: F.array_position(F.array(*[F.lit(x) for x in TYPES]), F.col(c))
+    lines = lines.withColumns({"_next": F.coalesce(F.lead("depth").over(order), F.lit(0)), "_part": F.sum(F.when((F.col("depth") == 0) & (F.col("type") != "note"), 1).otherwise(0)).over(order)})
+    body = T.escape_markup(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", ""))
+    leaf = (F.col("type") != "note") & (F.col("depth") > 1) & (F.col("_next") <= F.col("depth"))
+    opened = (F.col("type") != "note") & ~leaf
+    closed = F.greatest(F.col("depth") - F.col("_next") + F.when(opened, 1).otherwise(0), F.lit(0))
+    last = F.when((F.col("_next") == 0) & (closed > 0), 1).otherwise(0)
+    around = lambda tag, text: F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))
+    element = (
+        F.when(F.col("type") == "note", around("NTE", around("NPR", body))).when(F.col("depth") == 0, F.concat(F.lit("<PRT>"), around("TTL", F.concat(F.lit("PART "), F.col("_part").cast("string"), F.lit("   "), body))))
+        .when(leaf & (tier("type") - tier("parent_type") >= 2), around("ITM", body)).when(leaf, around("LST", body)).otherwise(F.concat(F.lit("<SPT>"), around("TTL", body)))
+    )
+    lines = lines.select("source_id", "number", F.struct("key", F.concat(element, F.repeat(F.lit("</SPT>"), closed - last), F.repeat(F.lit("</PRT>"), last)).alias("line")).alias("l"))
+    whole = lines.groupBy("source_id").agg(F.max("number").alias("number"), F.array_sort(F.collect_list("l")).alias("ls")).join(titles, "source_id", "left")
+    head = F.concat(F.lit("<SEC>"), around("SCN", F.concat(F.lit("SECTION "), T.escape_markup(F.coalesce("number", F.lit(""))))), around("STL", T.escape_markup(F.coalesce("title", F.lit("")))))
+    # One element a line, as readers limit the length of lines.
+    return whole.select("source_id", F.concat(head, F.lit("\n"), F.array_join(F.col("ls.line"), "\n"), F.lit("</SEC>")).alias("content"))

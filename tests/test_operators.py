@@ -103,6 +103,26 @@ def test_readers(spark):
     assert [(r["node_no"], r["parent_no"], r["node_type"]) for r in docx] == [(0, None, "part"), (1, 0, "article"), (2, 1, "continuation"), (3, None, "part")]
 
 
+def test_sec_tree_written_and_read(spark, tmp_path):
+    from strataflow.plans.ingest import sec_trees
+
+    schema = "paragraph_id string, spec_id string, spec_section string, parent_id string, node_type string, text string, sibling_position int, vanish boolean"
+    data = [
+        ("P1", "S", "01 00 00", None, "part", "GENERAL", 0, False), ("a", "s", "01 00 00", "p1", "article", "A & B", 0, False), ("n", "s", "01 00 00", "a", "note", "keep", 2, True), ("b", "s", "01 00 00", "a", "pr1", "first", 0, False),
+        ("c", "s", "01 00 00", "b", "pr2", "deep\x00", 0, False), ("d", "s", "01 00 00", "c", "pr3", "deeper", 0, False), ("a-1", "s", "01 00 00", "a", "pr2", "item", 1, False), ("e", "s", "01 00 00", "a", "pr1", "gone", 3, True),
+        ("f", "s", "01 00 00", "e", "pr2", "gone too", 0, False), ("p2", "s", "01 00 00", None, "part", None, 1, None), ("g", "s", "01 00 00", "p2", "article", "alone", 0, False),
+    ]
+    frame(spark, data, schema).write.parquet(str(tmp_path / "paragraphs.parquet"))
+    frame(spark, [("s", "Title <1>")], "spec_id string, title string").write.parquet(str(tmp_path / "specs.parquet"))
+    nodes = D.parse_files(sec_trees(spark, str(tmp_path)), D.sec_nodes).collect()
+    at = {(r["source_id"], r["node_no"]): r["text"] for r in nodes}
+    read = [(r["node_type"], at.get((r["source_id"], r["parent_no"])), r["text"], r["vanish"]) for r in sorted(nodes, key=lambda r: r["node_no"])]
+    assert read == [
+        ("header", None, "SECTION 01 00 00", False), ("header", None, "Title <1>", False), ("part", None, "PART 1 GENERAL", False), ("article", "PART 1 GENERAL", "A & B", False), ("note", "A & B", "keep", True),
+        ("pr2", "A & B", "item", False), ("pr1", "A & B", "first", False), ("pr2", "first", "deep", False), ("pr3", "deep", "deeper", False), ("part", None, "PART 2", False), ("article", "PART 2", "alone", False),
+    ]
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.sec").write_bytes(b"<SEC><SCN>01 00 00</SCN></SEC>")
     (tmp_path / "b.txt").write_text("x")
