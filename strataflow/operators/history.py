@@ -28,6 +28,15 @@ def state_at(changes: DataFrame, keys: list[str], version: str, at: int, gone: s
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others]).where(~F.col(gone)).drop(gone)
 
 
+def states_at(changes: DataFrame, owner: str, keys: list[str], version: str, versions: DataFrame, gone: str) -> DataFrame:
+    """As state_at() of each owner's keys at versions of its own: (owner, at, keys, ...) for each (owner, at) of ``versions``. A null owner is an owner."""
+    others = [c for c in changes.columns if c not in keys and c not in (owner, version)]
+    own = versions.select(F.col(owner).alias("_owner"), "at")
+    past = changes.join(own, F.col(owner).eqNullSafe(F.col("_owner")) & (F.col(version) <= F.col("at")))
+    last = past.groupBy(owner, "at", *keys).agg(F.max(F.struct(version, *others)).alias("_last"))
+    return last.select(owner, "at", *keys, *[F.col(f"_last.{c}").alias(c) for c in others]).where(~F.col(gone)).drop(gone)
+
+
 def compare_states(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, state): added, removed, modified or unchanged, by one full outer join; a null value is a value of its own."""
     old = before.select(*keys, F.col(value).alias("_old"), F.lit(True).alias("_was"))

@@ -79,6 +79,16 @@ def state_at_version(spark: SparkSession, folder: str) -> DataFrame:
     return H.state_at(changes, ["user_id", "event_type"], "event_id", 5000, "gone")
 
 
+@query("states_at_own_versions", """WITH b AS (SELECT user_id, min(event_id) AS a, max(event_id) AS z FROM events GROUP BY ALL), v AS (SELECT user_id, a + (z - a) // 2 AS version FROM b UNION SELECT user_id, z FROM b),
+c AS (SELECT e.user_id, v.version, e.event_type, arg_max(struct_pack(x := e.value), e.event_id) AS last FROM events e JOIN v ON e.user_id IS NOT DISTINCT FROM v.user_id AND e.event_id <= v.version GROUP BY ALL) SELECT user_id, version, event_type, last.x AS value FROM c WHERE NOT last.x > 50""")
+def states_at_own_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's state halfway through the versions of its own log and at its latest, so that the whole log is folded at every size."""
+    changes = table(spark, folder, "events").select("user_id", "event_type", "event_id", "value", (F.col("value") > 50).alias("gone"))
+    ends = changes.groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("z"))
+    versions = ends.select("user_id", F.explode(F.array_distinct(F.array(F.expr("a + (z - a) div 2"), F.col("z")))).alias("at"))
+    return H.states_at(changes, "user_id", ["event_type"], "event_id", versions, "gone").withColumnRenamed("at", "version")
+
+
 @query("three_way_diff", _ROWS + """, o AS (SELECT DISTINCT lower(spec_id) AS spec_id, lower(paragraph_id) AS uuid, text FROM paragraphs WHERE lower(spec_id) IN (SELECT spec_id FROM m)),
 a AS (SELECT coalesce(f.spec_id, o.spec_id) AS spec_id, coalesce(f.uuid, o.uuid) AS uuid, f.text AS b, o.text AS o, f.uuid IS NOT NULL AS in_b, o.uuid IS NOT NULL AS in_o FROM first f FULL JOIN o ON f.spec_id = o.spec_id AND f.uuid = o.uuid),
 z AS (SELECT coalesce(a.spec_id, l.spec_id) AS spec_id, coalesce(a.uuid, l.uuid) AS uuid, b, o, l.text AS t, coalesce(in_b, FALSE) AS in_b, coalesce(in_o, FALSE) AS in_o, l.uuid IS NOT NULL AS in_t FROM a FULL JOIN last l ON a.spec_id = l.spec_id AND a.uuid = l.uuid)

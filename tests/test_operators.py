@@ -123,6 +123,15 @@ def test_sec_tree_written_and_read(spark, tmp_path):
     ]
 
 
+def test_states_at_own_versions_fold_the_whole_log(spark, tmp_path):
+    from strataflow.plans.history import states_at_own_versions
+
+    data = [(1, "u", "x", 1.0), (2, "u", "y", 2.0), (9001, "u", "x", 3.0), (9002, "u", "y", 60.0), (9003, "w", "x", 4.0), (9004, None, "x", 5.0), (9008, None, "x", 6.0)]
+    frame(spark, data, "event_id long, user_id string, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = states_at_own_versions(spark, str(tmp_path)).select("user_id", "version", "event_type", "value")
+    assert rows(found) == sorted([("u", 4501, "x", 1.0), ("u", 4501, "y", 2.0), ("u", 9002, "x", 3.0), ("w", 9003, "x", 4.0), (None, 9006, "x", 5.0), (None, 9008, "x", 6.0)], key=repr)
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.sec").write_bytes(b"<SEC><SCN>01 00 00</SCN></SEC>")
     (tmp_path / "b.txt").write_text("x")
