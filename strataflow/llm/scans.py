@@ -42,7 +42,8 @@ STANDS_ALONE = re.compile(r"(?<![^\W_])\d[\d.]*(?![^\W_])")
 FOUR_LETTERS = re.compile(r"(?:[\W\d_]*[^\W\d_]){4}")
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 TOKEN_ENDS = ".,;:?“”\"'’[]{}"
-#: Lines from an edge that may be furniture, and the share of extractions a line or of words a word must have to be handed to all tasks.
+#: Lines from an edge that may be furniture, and the share of extractions a line or of words a word must have to be handed to all tasks;
+#: what is rarer is joined to the extractions that ask for it.
 DEPTH, SHARE, WORD_SHARE = 3, 1e-4, 1e-6
 #: A misread word's correction is so many times as common as the word, and occurs at least so often.
 TIMES, LEAST = 8, 3
@@ -105,7 +106,7 @@ class Document:
         for k in range(min(DEPTH, n)):
             yield "end", n - 1 - k
 
-    def find_furniture(self, known: dict[str, bool]) -> None:
+    def find_furniture(self, known: dict[str, bool] | Lookups) -> None:
         """known: for keys of lines that repeat over extractions whether they are furniture."""
         if len(self.pages) < 2:
             return
@@ -175,7 +176,7 @@ class Document:
         return False
 
     @staticmethod
-    def _known_part(line: str, known: dict[str, bool]) -> bool:
+    def _known_part(line: str, known: dict[str, bool] | Lookups) -> bool:
         """A part of the line between separators is known furniture by itself."""
         parts = PARTS.split(line)
         return len(parts) > 1 and any(lettered(x) and len(line_key(x)) >= 10 and known.get(line_key(x), False) for x in parts)
@@ -185,9 +186,30 @@ class Document:
         return [(p, k, line) for p, (_, lines) in enumerate(self.pages) for k, line in enumerate(lines) if k not in self.furniture[p] and line.strip()]
 
 
+class Lookups:
+    """What is known of common words or lines, and of those that one extraction asked for (None: nothing is). Other keys are noted in ``asked``."""
+
+    def __init__(self, common: dict, given: dict) -> None:
+        self.common, self.given, self.asked = common, given, set()
+
+    def get(self, key: str, default=None):
+        found = self.common.get(key)
+        if found is None:
+            found = self.given.get(key)
+            if found is None and key not in self.given:
+                self.asked.add(key)
+        return default if found is None else found
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+
 class Vocabulary:
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int] | Lookups, top: int | None = None) -> None:
+        """top: the count of the commonest word, where counts can't be gone through."""
         self.counts = counts
+        if top is not None:
+            self.top = top
         self.store: dict[str, str | None] = {}
         self.fixes: dict[str, str | None] = {}
 
@@ -357,11 +379,12 @@ def document_of(pages: list[dict] | None) -> Document:
     return Document([(n, (t or "").split("\n")) for n, t in sorted(rows, key=lambda r: r[0])])
 
 
-def learn(extractions: DataFrame) -> tuple[dict[str, int], dict[str, bool]]:
-    """(words with their counts, lines that repeat over extractions with whether they are furniture), over all pages of all extractions.
+def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool], int, bool], DataFrame]:
+    """((common words with their counts, common lines with whether they are furniture, the highest count, whether these are all), table of all).
 
-    Both are of bounded size: a word must make up WORD_SHARE of all words (so there are at most 1 / WORD_SHARE of them), a line must stand in SHARE of
-    the extractions. Each task counts its own rows first.
+    The words and lines of any count, a line in 3 extractions at least, are in the table (kind, what, n). The common ones are of bounded size: a word
+    must make up WORD_SHARE of all words (so there are at most 1 / WORD_SHARE of them), a line must stand in SHARE of the extractions.
+    Each task counts its own rows first.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,11 +426,70 @@ def learn(extractions: DataFrame) -> tuple[dict[str, int], dict[str, bool]]:
 
     rows = stage(extractions.select("pages").mapInArrow(count, "kind string, what string, n long").groupBy("kind", "what").agg(F.sum("n").alias("n")), "page-words")
     total = {r["what"]: r["n"] for r in rows.where("kind = 'all'").toLocalIterator()}
-    words = rows.where((F.col("kind") == "word") & (F.col("n") >= F.lit(WORD_SHARE * total.get("words", 0))))
+    words = rows.where("kind = 'word'")
+    top, distinct = words.agg(F.max("n"), F.count("*")).first()
+    top = top or 0
     lines = rows.where("kind IN ('edge', 'inner')").groupBy("what").agg(F.sum(F.when(F.col("kind") == "edge", F.col("n")).otherwise(0)).alias("edge"), F.sum(F.when(F.col("kind") == "inner", F.col("n")).otherwise(0)).alias("inner"))
-    lines = lines.where((F.col("edge") + F.col("inner")) >= F.lit(max(3.0, SHARE * total.get("extractions", 0)))).where(F.col("edge") > 0)
-    known = {r["what"]: r["edge"] > 4 * r["inner"] for r in lines.toLocalIterator()}
-    return {r["what"]: r["n"] for r in words.toLocalIterator()}, known
+    lines = lines.where((F.col("edge") + F.col("inner") >= 3) & (F.col("edge") > 0))
+    # All are handed out where they are no more than the floors let through.
+    least_word = WORD_SHARE * total.get("words", 0) if distinct * WORD_SHARE > 1 else 0
+    least_line = SHARE * total.get("extractions", 0) if lines.count() * SHARE > 1 else 0
+    known = {r["what"]: r["edge"] > 4 * r["inner"] for r in lines.where(F.col("edge") + F.col("inner") >= F.lit(least_line)).toLocalIterator()}
+    common = {r["what"]: r["n"] for r in words.where(F.col("n") >= F.lit(least_word)).toLocalIterator()}
+    table = words.select("kind", "what", "n").unionByName(lines.select(F.lit("line").alias("kind"), "what", (F.col("edge") > 4 * F.col("inner")).cast("long").alias("n")))
+    return (common, known, top, least_word <= 1 and least_line <= 3), table
+
+
+def opened(batches: Iterator[pa.RecordBatch], learned: tuple[dict[str, int], dict[str, bool], int, bool]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[Document, Vocabulary, Lookups | dict]]]]:
+    """Each batch with its documents, their furniture found, and the vocabulary and lines to read them by."""
+    words, known, top, whole = learned
+    vocabulary = Vocabulary(words, top)
+
+    def documents(batch: pa.RecordBatch) -> Iterator[tuple[Document, Vocabulary, Lookups | dict]]:
+        given = [()] * len(batch) if whole else batch.column("more").to_pylist()
+        for pages, more in zip(batch.column("pages").to_pylist(), given, strict=True):
+            spelled, lines = vocabulary, known
+            if not whole:
+                spelled = Vocabulary(Lookups(words, {x["what"]: x["n"] for x in more or () if x["kind"] == "word"}), top)
+                lines = Lookups(known, {x["what"]: None if x["n"] is None else x["n"] > 0 for x in more or () if x["kind"] == "line"})
+            document = document_of(pages)
+            document.find_furniture(lines)
+            yield document, spelled, lines
+
+    for batch in batches:
+        yield batch, documents(batch)
+
+
+def with_lookups(extractions: DataFrame):
+    """(extractions, broadcast of what is common); where that isn't all, ``more`` has what each extraction asks for of the rest.
+
+    What is asked depends on the answers, so rounds go on until none asks for more. An answer is of the size of its extraction.
+    """
+    learned, table = learn(extractions)
+    shared = extractions.sparkSession.sparkContext.broadcast(learned)
+    rows = extractions.select("extraction_id", "pages")
+    if learned[3]:
+        return rows, shared
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, documents in opened(batches, shared.value):
+            out = []
+            for row, (document, vocabulary, lines) in zip(batch.column("_row").to_pylist(), documents, strict=True):
+                readable(document, vocabulary)
+                out += [(row, "word", x) for x in vocabulary.counts.asked] + [(row, "line", x) for x in lines.asked]
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["_row", "kind", "what"])
+
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "scans")
+    found = None
+    current = rows.withColumn("more", F.expr("cast(array() AS array<struct<kind: string, what: string, n: bigint>>)"))
+    while True:
+        asked = stage(current.mapInArrow(ask, "_row long, kind string, what string"), "asked")
+        if asked.isEmpty():
+            return current, shared
+        answers = asked.join(table, ["kind", "what"], "left").select("_row", "kind", "what", "n")
+        found = stage(answers if found is None else found.unionByName(answers), "answers")
+        current = rows.join(found.groupBy("_row").agg(F.collect_list(F.struct("kind", "what", "n")).alias("more")), "_row", "left")
 
 
 def scan_noise(extractions: DataFrame) -> DataFrame:
@@ -416,39 +498,26 @@ def scan_noise(extractions: DataFrame) -> DataFrame:
     Extractions of a single page have no furniture and are taken as digital. Null pages, null and empty texts have no lines of interest. Repeated rows
     give one row; an empty table gives none. Other columns are ignored.
     """
-    words, known = learn(extractions)
-    spark = extractions.sparkSession
-    shared = spark.sparkContext.broadcast((words, known))
+    rows, shared = with_lookups(extractions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = shared.value
-        vocabulary = Vocabulary(words)
-        for batch in batches:
+        for batch, documents in opened(batches, shared.value):
             out = []
-            for id_, pages in zip(batch.column("extraction_id").to_pylist(), batch.column("pages").to_pylist(), strict=True):
-                document = document_of(pages)
-                document.find_furniture(known)
+            for id_, (document, vocabulary, _) in zip(batch.column("extraction_id").to_pylist(), documents, strict=True):
                 out += [(id_, document.pages[p][0], k + 1, noise) for p, k, noise, _ in find_noise(document, vocabulary)]
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["extraction_id", "page_number", "line_no", "noise"])
 
-    return extractions.select("extraction_id", "pages").mapInArrow(run, "extraction_id bigint, page_number int, line_no int, noise string").distinct()
+    return rows.mapInArrow(run, "extraction_id bigint, page_number int, line_no int, noise string").distinct()
 
 
 def readable_texts(extractions: DataFrame) -> DataFrame:
     """(extraction_id, text): continuous paragraphs of each extraction, one a line. Extractions without pages have an empty text."""
-    words, known = learn(extractions)
-    shared = extractions.sparkSession.sparkContext.broadcast((words, known))
+    rows, shared = with_lookups(extractions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = shared.value
-        vocabulary = Vocabulary(words)
-        for batch in batches:
-            texts = []
-            for pages in batch.column("pages").to_pylist():
-                document = document_of(pages)
-                document.find_furniture(known)
-                texts.append(readable(document, vocabulary))
+        for batch, documents in opened(batches, shared.value):
+            texts = [readable(document, vocabulary) for document, vocabulary, _ in documents]
             yield pa.RecordBatch.from_arrays([batch.column("extraction_id"), pa.array(texts, pa.string())], names=["extraction_id", "text"])
 
-    return extractions.select("extraction_id", "pages").mapInArrow(run, "extraction_id bigint, text string")
+    return rows.mapInArrow(run, "extraction_id bigint, text string")

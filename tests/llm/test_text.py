@@ -224,3 +224,12 @@ def test_labels():
     labels = [(r["doc_id"], r["abusive"]) for r in pq.read_table(f"{folder}/review_labels.parquet").to_pylist()]
     right = sum((abuse.score(texts[d])[2] >= 1) == bool(a) for d, a in labels if d in texts)
     assert right / len(labels) > 0.9
+
+
+def test_rare_words_and_lines_of_scans_count_at_every_size(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.001/pdf_extractions.parquet")
+    noise, texts = (sorted(map(tuple, f(table).collect()), key=repr) for f in (scans.scan_noise, scans.readable_texts))
+    monkeypatch.setattr(scans, "WORD_SHARE", 0.01)
+    monkeypatch.setattr(scans, "SHARE", 0.5)
+    assert sorted(map(tuple, scans.scan_noise(table).collect()), key=repr) == noise
+    assert sorted(map(tuple, scans.readable_texts(table).collect()), key=repr) == texts
