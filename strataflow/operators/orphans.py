@@ -6,10 +6,11 @@ an exact join against the times in which the parent key was live.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataflow.functions.sections import canonical_section
-from strataflow.operators.bloom import bloom_filter, might_contain
+from strataflow.operators.bloom import bloom_filter, in_round, might_contain, rounds_for
+from strataflow.storage import new_path, stage
 
 
 def live_periods(rows: DataFrame, *key: str) -> DataFrame:
@@ -29,22 +30,18 @@ def live_periods(rows: DataFrame, *key: str) -> DataFrame:
     return endless.withColumn("live_to", F.lit(None).cast("timestamp")).unionByName(merged)
 
 
-def not_live(refs: DataFrame, key: list[str], at: str, parents: DataFrame, parent_rows: int) -> DataFrame:
-    """The rows of refs whose key has no live parent at the time ``at``.
+def with_verdict(rows: DataFrame, key: Column, keys: DataFrame, known: Column, count: int, name: str) -> DataFrame:
+    """rows with ``possible`` (false: the key is certainly not among the keys), written to the shared folder split by it.
 
-    Keys that fail the filter are orphans for certain. The rest meet the periods in an anti join, whose skewed
-    partitions adaptive execution splits. A null time is in no period.
+    The rows are read once, and once more for each further 2^29 / 12 keys that don't fit the filters of one round.
     """
-    periods = live_periods(parents, *key)
-    bloom = bloom_filter(parents.select(*key), F.struct(*key), parent_rows)
-    passes = might_contain(refs, bloom, F.struct(*[refs[k] for k in key]))
-    periods = periods.select(*[F.col(k).alias(f"_p_{k}") for k in key], "live_from", "live_to")
-    joined = [F.col(k) == F.col(f"_p_{k}") for k in key]
-    within = (F.col("live_from") <= F.col(at)) & (F.col("live_to").isNull() | (F.col("live_to") > F.col(at)))
-    cond = within
-    for j in joined:
-        cond = cond & j
-    return refs.where(~passes).unionByName(refs.where(passes).join(periods, cond, "left_anti"))
+    rounds, path = rounds_for(count), new_path(rows.sparkSession, name)
+    for n in range(rounds):
+        bloom = bloom_filter(keys.where(in_round(known, n, rounds)), known, -(-count // rounds))
+        part = rows.where(in_round(key, n, rounds))
+        part = part.withColumn("possible", might_contain(part, bloom, key))
+        part.write.partitionBy("possible").parquet(f"{path}/round={n}")
+    return rows.sparkSession.read.schema(part.schema).option("basePath", path).parquet(f"{path}/round=*")
 
 
 def orphan_references(references: DataFrame, specs: DataFrame) -> DataFrame:
@@ -52,27 +49,38 @@ def orphan_references(references: DataFrame, specs: DataFrame) -> DataFrame:
 
     Ids compare in lower case and sections in canonical form. Exact copies of a reference give one row. A null key is no
     case; a null created_at is live nowhere, so its keys are cases and its month is null. A target is judged only where the
-    source spec has a row. Empty tables: no references give no rows; without specs each source reference is a case.
+    source spec has a row; an owner that is null has no specs. Empty tables: no references give no rows; without specs each source reference is a case.
     Further columns of either table are ignored.
     """
     owner = F.coalesce(F.concat(F.lit("L"), F.lower("library_id")), F.concat(F.lit("P"), F.lower("project_id")))
-    parents = specs.select(F.lower("spec_id").alias("source"), owner.alias("owner"), canonical_section(F.col("section")).alias("target"), "created_at", "withdrawn_at")
-    count = specs.count()
-    refs = references.select(
-        "ref_id",
-        F.lower("source_spec_id").alias("source"),
-        canonical_section(F.col("target_spec_section")).alias("target"),
-        F.col("created_at").alias("made"),
-    )
-    by_source = not_live(refs.where("source IS NOT NULL"), ["source"], "made", parents, count)
-    owners = parents.select(F.col("source").alias("_source"), "owner").distinct()
-    aimed = refs.where("target IS NOT NULL AND source IS NOT NULL")
-    aimed = aimed.where(might_contain(aimed, bloom_filter(parents, F.col("source"), count), aimed["source"]))
-    aimed = aimed.join(owners, F.col("source") == F.col("_source")).select("ref_id", "owner", "target", "made")
-    by_target = not_live(aimed, ["owner", "target"], "made", parents.where("owner IS NOT NULL"), count)
-    found = by_source.select("ref_id", F.lit("source_spec_id").alias("ref_field"), "made").unionByName(
-        by_target.select("ref_id", F.lit("target_spec_section").alias("ref_field"), "made")
-    )
+    parents = stage(specs.select(F.lower("spec_id").alias("source"), owner.alias("owner"), canonical_section(F.col("section")).alias("target"), "created_at", "withdrawn_at"), "parents")
+    count = parents.count()
+    refs = references.select("ref_id", F.lower("source_spec_id").alias("source"), canonical_section(F.col("target_spec_section")).alias("target"), F.col("created_at").alias("made"))
+    # First verdict: sources that no spec has. Their references are cases of the source and aren't judged for the target.
+    judged = with_verdict(refs.where("source IS NOT NULL"), F.col("source"), parents, F.col("source"), count, "source-verdicts")
+    aimed = judged.where("possible")
+    owners = parents.where("source IS NOT NULL").select(F.col("source").alias("_source"), "owner").distinct()
+    aimed = aimed.join(owners, F.col("source") == F.col("_source"), "left").select("ref_id", "source", "_source", "owner", "target", "made")
+    # One row for each field to verify. Keys of both fields have one form: sources stand without a target.
+    fields = F.array(
+        F.struct(F.lit("source_spec_id").alias("ref_field"), F.col("source").alias("one"), F.lit("").alias("two")),
+        F.when(F.col("_source").isNotNull() & F.col("target").isNotNull(), F.struct(F.lit("target_spec_section").alias("ref_field"), F.col("owner").alias("one"), F.concat(F.lit("S"), "target").alias("two"))),
+    )
+    asked = aimed.select("ref_id", "made", F.explode(fields).alias("f")).where("f IS NOT NULL").select("ref_id", "made", "f.*")
+    keys = F.array(
+        F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("one"), F.lit("").alias("two"))),
+        F.when(F.col("owner").isNotNull() & F.col("target").isNotNull(), F.struct(F.col("owner").alias("one"), F.concat(F.lit("S"), "target").alias("two"))),
+    )
+    parent_keys = parents.select(F.explode(keys).alias("k"), "created_at", "withdrawn_at").where("k IS NOT NULL").select("k.*", "created_at", "withdrawn_at")
+    periods = stage(live_periods(parent_keys, "one", "two"), "periods")
+    # Second verdict: keys that were never live. What passes meets the periods in an anti join, whose skewed partitions adaptive execution splits.
+    both = F.struct("one", "two")
+    verdicts = with_verdict(asked, both, periods, both, periods.count(), "verdicts")
+    spans = periods.select(F.col("one").alias("_one"), F.col("two").alias("_two"), "live_from", "live_to")
+    within = (F.col("live_from") <= F.col("made")) & (F.col("live_to").isNull() | (F.col("live_to") > F.col("made")))
+    verified = verdicts.where("possible").join(spans, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")) & within, "left_anti")
+    columns = ["ref_id", "ref_field", "made"]
+    found = judged.where("NOT possible").withColumn("ref_field", F.lit("source_spec_id")).select(*columns).unionByName(verdicts.where("NOT possible").select(*columns)).unionByName(verified.select(*columns))
     return found.select("ref_id", "ref_field", F.date_format("made", "yyyy-MM").alias("month")).distinct()
 
 

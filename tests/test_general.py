@@ -98,3 +98,22 @@ def test_hierarchy_of_nothing_and_of_circles_only(spark):
     ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("t", "r3")]
     found = H.hierarchy(H.node_rows(frame(spark, ring, schema), "node", "parent_id"))
     assert {(r["root_id"], r["depth"]) for r in found.collect()} == {("r0", -1)}
+
+
+def test_orphans_with_filters_of_few_bits(spark, specs, monkeypatch):
+    """Many filters and several rounds give the same rows, and the filters still prove most orphans."""
+    from strataflow.operators import bloom
+
+    data = [(i, f"ghost{i}" if i % 3 else "a", "01 00 00" if i % 2 else "09 99 99", at(5), "y") for i in range(300)]
+    data += [(1000 + i, f"s{i}", "01 00 00", at(5), "y") for i in range(200)]
+    more = specs.unionByName(frame(spark, [(f"s{i}", f"{i % 90 + 10} 00 00", "l9", None, at(0), None, "x") for i in range(200)], SPEC))
+    refs = frame(spark, data, REF)
+    whole = rows(orphan_references(refs, more))
+    monkeypatch.setattr(bloom, "MAX_BITS", 256)
+    monkeypatch.setattr(bloom, "MAX_FILTERS", 3)
+    assert bloom.rounds_for(206) > 1
+    assert rows(orphan_references(refs, more)) == whole
+    filters = bloom.bloom_filter(more, more["spec_id"])
+    assert len(filters) == 3
+    passed = refs.where(bloom.might_contain(refs, filters, refs["source_spec_id"]))
+    assert passed.where("source_spec_id LIKE 's%' OR source_spec_id = 'a'").count() == 300 and passed.count() < 450
