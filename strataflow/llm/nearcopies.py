@@ -1,13 +1,10 @@
 """Near-duplicate paragraphs: fingerprints split into pigeonhole blocks, joined on blocks, verified by Hamming distance.
 
-A fingerprint is BLOCKS x WIDTH min-hash components over the text's words (a word that occurs k times counts as k members).
-Two fingerprints differ in a share of 1 - s of the components for texts of similarity s, so close ones leave whole blocks
-untouched: with s of 0.7, 0.75 and 0.8 a pair shares a block with probability 0.9987, 0.99994 and 0.9999994. Strangers that share one are
-dropped in the join by a bound that is exact (see ``_may_reach``); the other pairs are verified by the Hamming distance of the components' lowest bits, and the few that are left by the exact similarity of their words.
-
-Words that stand in more than COMMON of the texts are left out of a second fingerprint (never of the exact similarity): they say little of
-copies. There are at most (words per text) / COMMON of them, so their list is small. The fingerprint over all words, which every text has,
-is the one that the probabilities above hold for, whatever words the edits fall on; the one over the uncommon words only adds to it.
+Of a text's words (one that occurs k times counts as k members) two fingerprints are made. One has BLOCKS x WIDTH min-hash components: those of texts
+of similarity s differ in a share of 1 - s of the components, so close texts leave whole blocks untouched. With s of 0.7, 0.75 and 0.8 a pair shares a block with
+probability 0.9994, 0.99998 and 0.9999999, whatever the words are and wherever the edits fall. The other has 112 parities of the members in as many buckets: each
+member that only one of two texts has changes one parity, so their Hamming distance is never more than the number of differing members. It is taken inside the
+join on blocks, where it drops strangers without ever dropping a pair; the few pairs left are verified by the exact similarity of their words.
 """
 
 from __future__ import annotations
@@ -24,12 +21,11 @@ from strataflow.operators.bloom import bloom_filter, might_contain
 from strataflow.storage import discard, new_path, stage
 
 SIMILARITY, LEAST_WORDS = 0.7, 12
-BLOCKS, WIDTH = 36, 5
-COMMON = 0.05
-#: Texts with at least FEW uncommon members, but not those alone, also have a fingerprint over these.
-FEW = 6
-#: Largest Hamming distance of BLOCKS * WIDTH one-bit components. At similarity 0.6 of the uncommon words 36 differ on average, with deviation 5.4.
-DISTANCE = 56
+BLOCKS, WIDTH = 40, 5
+#: Buckets of the parities; the rest of two 64-bit integers is the number of members.
+BUCKETS, SIZE_BITS = 112, 16
+#: Classes that a task remembers, so that it gives their blocks once.
+SEEN = 400_000
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,8 +64,8 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(codes, np.uint64), offsets
 
 
-def members(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(members, words): the n-th occurrence of a word in a text is a member of its own; sorted by text, with each one's word."""
+def members(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The n-th occurrence of a word in a text is a member of its own; sorted by text."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     order = np.lexsort((codes, rows))
     words = codes[order]
@@ -77,37 +73,34 @@ def members(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])
     begin = np.maximum.accumulate(np.where(new, np.arange(len(words)), 0)) if len(words) else np.zeros(0, np.int64)
     nth = (np.arange(len(words)) - begin).astype(np.uint64)
-    return mix(words + nth * _MIX), words
+    return mix(words + nth * _MIX)
 
 
 @functools.cache
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(20)
-    return random.integers(1, 2**63, BLOCKS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 2**63, BLOCKS * WIDTH, dtype=np.uint64)
+    return random.integers(0, 2**31, BLOCKS * WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), random.integers(0, 2**32, BLOCKS * WIDTH, dtype=np.uint32)
 
 
-def handles(member: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64 bits of each text: the parities of its members in 56 buckets, and their number (255: that or more)."""
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix(member * np.uint64(7)) % np.uint64(56)), offsets[:-1])
-    return (parity << np.uint64(8) | np.minimum(np.diff(offsets), 255).astype(np.uint64)).view(np.int64)
+def handles(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers of each text: the parities of its members in the buckets, and in the lowest bits their number (all ones: that or more)."""
+    bucket, starts, most = mix(member * np.uint64(7)) % np.uint64(BUCKETS), offsets[:-1], (1 << SIZE_BITS) - 1
+    first = np.bitwise_xor.reduceat(np.where(bucket < 64, np.uint64(1) << (bucket % np.uint64(64)), np.uint64(0)), starts)
+    second = np.bitwise_xor.reduceat(np.where(bucket < 64, np.uint64(0), np.uint64(1) << (bucket % np.uint64(64) + np.uint64(SIZE_BITS))), starts)
+    return first.view(np.int64), (second | np.minimum(np.diff(offsets), most).astype(np.uint64)).view(np.int64)
 
 
-def fingerprints(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks, bits) of each stretch of members beginning at starts: 32-bit block keys, and the components' lowest bits in three words."""
+def blocks_of(member: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """32-bit keys of the blocks of each stretch of members beginning at starts."""
     times, plus = _hashes()
-    parts = np.empty((BLOCKS * WIDTH, len(starts)), np.uint64)
-    for i in range(BLOCKS * WIDTH):
-        parts[i] = np.minimum.reduceat((values * times[i] + plus[i]) >> np.uint64(24), starts)
+    values = (member >> np.uint64(32)).astype(np.uint32)
     blocks = np.empty((len(starts), BLOCKS), np.int32)
     for b in range(BLOCKS):
         key = np.full(len(starts), b, np.uint64)
-        for part in parts[b * WIDTH : (b + 1) * WIDTH]:
-            key = mix(key * _MIX + part)
+        for i in range(b * WIDTH, (b + 1) * WIDTH):
+            key = mix(key * _MIX + np.minimum.reduceat(values * times[i] + plus[i], starts))
         blocks[:, b] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    bits = np.zeros((3, len(starts)), np.uint64)
-    for i in range(BLOCKS * WIDTH):
-        bits[i // 64] |= (mix(parts[i]) & np.uint64(1)) << np.uint64(i % 64)
-    return blocks, bits.view(np.int64)
+    return blocks
 
 
 def _classes(member: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -121,73 +114,42 @@ def eligible(paragraphs: DataFrame, least_words: int) -> DataFrame:
     return paragraphs.where(F.col("paragraph_id").isNotNull() & (F.length("text") >= 2 * least_words - 1)).select(F.lower("paragraph_id").alias("paragraph_id"), "text")
 
 
-def _long_enough(batch: pa.RecordBatch, least_words: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, members, words, offsets) of the texts with enough words."""
+def _long_enough(batch: pa.RecordBatch, least_words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(ids, members, offsets) of the texts with enough words."""
     codes, offsets = word_codes(batch.column("text").to_pylist())
     keep = np.diff(offsets) >= least_words
     codes = codes[np.repeat(keep, np.diff(offsets))]
     offsets = np.concatenate(([0], np.cumsum(np.diff(offsets)[keep])))
-    return batch.column("paragraph_id").filter(pa.array(keep)), *members(codes, offsets), offsets
+    return batch.column("paragraph_id").filter(pa.array(keep)), members(codes, offsets), offsets
 
 
-def common_words(rows: DataFrame, least_words: int, share: float = COMMON) -> np.ndarray:
-    """Codes of the words in more than that share of all texts of enough words. Each task counts its own rows first."""
+FINGERPRINT = "paragraph_id string, class binary, first long, second long, blocks array<int>"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in batches:
-            ids, _, words, offsets = _long_enough(batch, least_words)
-            texts += len(ids)
-            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            first = np.ones(len(words), bool)
-            first[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-            found, times = np.unique(words[first], return_counts=True)
-            both, at = np.unique(np.concatenate([codes, found]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
-            codes = both
-            if len(codes) > 2_000_000:  # a bounded table: pass the counts on and begin again
-                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts), pa.array(np.zeros(len(codes), bool))], names=["code", "n", "total"])
-                codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, np.uint64(0)).view(np.int64)), pa.array(np.append(counts, texts)), pa.array(np.arange(len(codes) + 1) == len(codes))], names=["code", "n", "total"])
-
-    counted = rows.mapInArrow(count, "code long, n long, total boolean").groupBy("code", "total").agg(F.sum("n").alias("n"))
-    path = new_path(rows.sparkSession, "words")
-    counted.write.parquet(path)
-    counted = rows.sparkSession.read.schema("code long, total boolean, n long").parquet(path)
-    texts = counted.where("total").agg(F.sum("n")).first()[0] or 0
-    found = counted.where(~F.col("total") & (F.col("n") > F.lit(share * texts))).select("code").toPandas()["code"].to_numpy(np.int64)
-    discard(rows.sparkSession, path)
-    return np.sort(found.view(np.uint64))
-
-
-FINGERPRINT = "paragraph_id string, class binary, handle long, size int, bits_0 long, bits_1 long, bits_2 long, blocks array<int>"
-
-
-def fingerprint_rows(rows: DataFrame, common: np.ndarray, least_words: int) -> DataFrame:
-    """A fingerprint of each text over all its words, and a second over its uncommon ones. ``class`` is the same for texts of the same words; ``handle`` has 64 bits of the words, for joins that a check follows."""
+
+def fingerprint_rows(rows: DataFrame, least_words: int) -> DataFrame:
+    """The fingerprints of each text. ``class`` is the same for texts of the same words; ``blocks`` is null where the task has given them for the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            ids, member, words, offsets = _long_enough(batch, least_words)
+            ids, member, offsets = _long_enough(batch, least_words)
             if not len(ids):
                 continue
-            classes, handle = _classes(member, offsets), handles(member, offsets)
-            place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
-            rare = common[place] != words if len(common) else np.ones(len(words), bool)
-            count = np.add.reduceat(rare.astype(np.int64), offsets[:-1])
-            for chosen, kept in ((np.ones(len(ids), bool), np.ones(len(words), bool)), ((count >= FEW) & (count < np.diff(offsets)), rare)):
-                at = np.flatnonzero(chosen)
-                if not len(at):
-                    continue
-                kept = kept & np.repeat(chosen, np.diff(offsets))
-                lengths = np.add.reduceat(kept.astype(np.int64), offsets[:-1])[at]
-                blocks, bits = fingerprints(member[kept], np.concatenate(([0], np.cumsum(lengths)[:-1])))
-                cls = [classes[16 * i : 16 * i + 16] for i in at.tolist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), pa.array(cls, pa.binary()), pa.array(handle[at]), pa.array(np.diff(offsets)[at].astype(np.int32)), *[pa.array(b) for b in bits], lists],
-                    names=["paragraph_id", "class", "handle", "size", "bits_0", "bits_1", "bits_2", "blocks"],
-                )
+            whole = _classes(member, offsets)
+            classes = [whole[16 * i : 16 * i + 16] for i in range(len(ids))]
+            if len(seen) > SEEN:
+                seen.clear()
+            new = np.zeros(len(ids), bool)
+            for i, c in enumerate(classes):
+                if c not in seen:
+                    seen.add(c)
+                    new[i] = True
+            lengths = np.diff(offsets)
+            blocks = blocks_of(member[np.repeat(new, lengths)], np.concatenate(([0], np.cumsum(lengths[new])))[:-1]) if new.any() else np.zeros((0, BLOCKS), np.int32)
+            ends = np.concatenate(([0], np.cumsum(new) * BLOCKS)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~new, False)), pa.array(blocks.ravel()))
+            first, second = handles(member, offsets)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.binary()), pa.array(first), pa.array(second), lists], names=["paragraph_id", "class", "first", "second", "blocks"])
 
     return rows.mapInArrow(run, FINGERPRINT)
 
@@ -197,7 +159,7 @@ def member_rows(rows: DataFrame, least_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, member, _, offsets = _long_enough(batch, least_words)
+            ids, member, offsets = _long_enough(batch, least_words)
             if len(ids):
                 classes = _classes(member, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(member.view(np.int64)))
@@ -206,40 +168,45 @@ def member_rows(rows: DataFrame, least_words: int) -> DataFrame:
     return rows.mapInArrow(run, "class binary, members array<long>")
 
 
-def _could_reach(a: str, b: str, similarity: float) -> Column:
-    """The sizes allow the similarity."""
-    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+def _may_reach(similarity: float) -> Column:
+    """Whether the words behind two handles can be as similar: the Hamming distance of their parities is at most the number of members that only one has."""
+    most = (1 << SIZE_BITS) - 1
+    size = lambda x: F.col(x).bitwiseAND(F.lit(most))
+    distance = F.bit_count(F.col("first").bitwiseXOR(F.col("_first"))) + F.bit_count(F.shiftrightunsigned(F.col("second").bitwiseXOR(F.col("_second")), SIZE_BITS))
+    least, greatest = F.least(size("second"), size("_second")), F.greatest(size("second"), size("_second"))
+    bound = F.lit((1 - similarity) / (1 + similarity)) * (least + greatest) + F.lit(1e-6)
+    return (greatest == most) | ((least >= F.lit(similarity) * greatest - F.lit(1e-6)) & (distance <= bound))
 
 
-def _may_reach(a: str, b: str, similarity: float) -> Column:
-    """Whether the words behind two handles can be as similar, by their numbers and parities alone: every member that only one text has changes one parity."""
-    size = lambda x: F.col(x).bitwiseAND(F.lit(255))
-    differing = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8))
-    least, greatest = F.least(size(a), size(b)), F.greatest(size(a), size(b))
-    bound = F.lit((1 - similarity) / (1 + similarity)) * (least + greatest) + F.lit(1e-6)
-    return (greatest == 255) | ((least >= F.lit(similarity) * greatest - F.lit(1e-6)) & (differing <= bound))
+def _representatives(prints: DataFrame) -> DataFrame:
+    """(class, first, second, blocks): one row a class. Only classes that several tasks have met are shuffled."""
+    once = prints.where("blocks IS NOT NULL").select("class", "first", "second", "blocks")
+    several = stage(once.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "several")
+    doubtful = might_contain(once, bloom_filter(several, F.col("class")), F.col("class"))
+    merged = once.where(doubtful).groupBy("class").agg(*[F.first(c).alias(c) for c in ("first", "second", "blocks")])
+    return once.where(~doubtful).unionByName(merged)
 
 
 def similar_classes(rows: DataFrame, prints: DataFrame, similarity: float, least_words: int) -> DataFrame:
     """(class_a, class_b): classes of different words whose similarity reaches the threshold, class_a < class_b.
 
-    Copies are one class, so a group of copies of any size puts one row into each of its blocks.
+    Copies are one class, so a group of copies of any size puts one row into each of its blocks. Nothing stands between the shuffle of the blocks and
+    their join, so adaptive execution can split a hot block on both sides.
     """
-    spark = rows.sparkSession
-    blocks = prints.select("handle", F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "handle"])
-    other = blocks.select(F.col("block").alias("_block"), F.col("handle").alias("_handle"))
-    pairs = blocks.join(other, (F.col("block") == F.col("_block")) & (F.col("handle") < F.col("_handle")) & _may_reach("handle", "_handle", similarity)).select("handle", "_handle").distinct()
-    # Texts of other words seldom have the same handle; those that do are pairs without a block.
-    alike = prints.groupBy("handle").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).where("_a <> _b").select("handle", F.col("handle").alias("_handle"))
-    pairs = pairs.unionByName(alike)
-    bits = prints.select("handle", "size", "bits_0", "bits_1", "bits_2", "class").dropDuplicates(["class", "bits_0"])
-    named = lambda x: bits.select(*[F.col(c).alias(f"{x}{c}") for c in bits.columns])
-    distance = sum((F.bit_count(F.col(f"a_bits_{i}").bitwiseXOR(F.col(f"b_bits_{i}"))) for i in range(3)), F.lit(0))
-    close = pairs.join(named("a_"), F.col("handle") == F.col("a_handle")).join(named("b_"), F.col("_handle") == F.col("b_handle"))
-    close = close.where((distance <= DISTANCE) & _could_reach("a_size", "b_size", similarity) & (F.col("a_class") != F.col("b_class")))
-    close = stage(close.select(F.least("a_class", "b_class").alias("class_a"), F.greatest("a_class", "b_class").alias("class_b")).distinct(), "close")
+    texts = _representatives(prints)
+    key = F.shiftleft(F.col("b").cast("long"), 32).bitwiseOR(F.col("part").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    blocks = texts.select("first", "second", F.posexplode("blocks").alias("b", "part")).select(key.alias("block"), "first", "second")
+    other = blocks.select(F.col("block").alias("_block"), F.col("first").alias("_first"), F.col("second").alias("_second"))
+    ordered = (F.col("first") < F.col("_first")) | ((F.col("first") == F.col("_first")) & (F.col("second") < F.col("_second")))
+    pairs = blocks.join(other, (F.col("block") == F.col("_block")) & ordered & _may_reach(similarity)).select("first", "second", "_first", "_second").distinct()
+    classes = texts.select("class", "first", "second")
+    there = classes.select(F.col("class").alias("_class"), F.col("first").alias("_first"), F.col("second").alias("_second"))
+    apart = pairs.join(classes, ["first", "second"]).join(there, ["_first", "_second"]).select("class", "_class")
+    # Texts of few differing words can have equal parities: they meet by these, without a block.
+    equal = classes.join(there, (F.col("first") == F.col("_first")) & (F.col("second") == F.col("_second")) & (F.col("class") < F.col("_class"))).select("class", "_class")
+    close = stage(apart.unionByName(equal).select(F.least("class", "_class").alias("class_a"), F.greatest("class", "_class").alias("class_b")), "close")
     wanted = close.select(F.explode(F.array("class_a", "class_b")).alias("class"))
-    held = prints.select("paragraph_id", "class")
+    held = prints.where("blocks IS NOT NULL").select("paragraph_id", "class")
     held = held.where(might_contain(held, bloom_filter(wanted, F.col("class")), F.col("class"))).groupBy("class").agg(F.min("paragraph_id").alias("paragraph_id"))
     held = stage(held, "held")
     texts = rows.where(might_contain(rows, bloom_filter(held, F.col("paragraph_id")), F.col("paragraph_id")))
@@ -258,8 +225,7 @@ def near_copies(paragraphs: DataFrame, similarity: float = SIMILARITY, least_wor
     member; null, empty and short texts are no members; rows without id are left out. Empty tables give empty results. Texts are used whole.
     """
     rows = eligible(paragraphs, least_words)
-    common = common_words(rows, least_words)
-    prints = stage(fingerprint_rows(rows, common, least_words), "prints")
+    prints = stage(fingerprint_rows(rows, least_words), "prints")
     return prints.select("paragraph_id", "class").distinct(), similar_classes(rows, prints, similarity, least_words)
 
 

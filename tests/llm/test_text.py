@@ -143,7 +143,7 @@ def test_near_copies_of_a_template_with_long_edits(spark):
         texts.append(head + own(5))
         texts.append(texts[-1] + own(7))
     texts += [own(20) for _ in range(100)]
-    assert all(sum(x[0] == t[0] for t in texts) > nearcopies.COMMON * len(texts) for x in (short, long, head))
+    assert all(sum(x[0] == t[0] for t in texts) > 0.05 * len(texts) for x in (short, long, head))
     table = frame(spark, [(f"t{i:03d}", " ".join(t), None, "k", 1) for i, t in enumerate(texts)], PARAGRAPH)
     wanted = {(f"t{i:03d}", f"t{j:03d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity(" ".join(texts[i]), " ".join(texts[j])) >= 0.7}
     assert len(wanted) == 19 + 15 * 14 // 2 + 8
@@ -233,3 +233,37 @@ def test_rare_words_and_lines_of_scans_count_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(scans, "SHARE", 0.5)
     assert sorted(map(tuple, scans.scan_noise(table).collect()), key=repr) == noise
     assert sorted(map(tuple, scans.readable_texts(table).collect()), key=repr) == texts
+
+
+def test_near_copies_that_share_common_words_and_few_others(spark):
+    """28 words that stand in all texts, and 6 of 12 others: a similarity of 0.739. The blocks miss less than one pair in a hundred."""
+    common = [f"shall{i}" for i in range(28)]
+    texts = []
+    for n in range(300):
+        shared = [f"k{n}x{i}" for i in range(6)]
+        texts += [common + shared + [f"own{n}{side}{i}" for i in range(6)] for side in "ab"]
+    table = frame(spark, [(f"t{i:03d}", " ".join(t), None, "k", 1) for i, t in enumerate(texts)], PARAGRAPH)
+    found = {tuple(r) for r in nearcopies.similar_pairs(table).collect()}
+    wanted = {(f"t{2 * n:03d}", f"t{2 * n + 1:03d}") for n in range(300)}
+    assert found <= wanted and len(found) > 297
+
+
+def test_hamming_distance_of_parities_is_a_bound():
+    pick = random.Random(8)
+    for _ in range(300):
+        texts = [[pick.choice("abcdefghij") + str(pick.randint(0, 30)) for _ in range(pick.randint(12, 90))] for _ in range(2)]
+        codes, offsets = nearcopies.word_codes([" ".join(t) for t in texts])
+        first, second = (x.view(np.uint64).tolist() for x in nearcopies.handles(nearcopies.members(codes, offsets), offsets))
+        distance = (first[0] ^ first[1]).bit_count() + ((second[0] ^ second[1]) >> nearcopies.SIZE_BITS).bit_count()
+        a, b = map(Counter, texts)
+        assert distance <= sum(((a - b) + (b - a)).values())
+        assert [s & 0xFFFF for s in second] == [len(t) for t in texts]
+
+
+def test_texts_with_equal_parities_meet(spark):
+    texts = [" ".join([*(f"w{i}" for i in range(25)), f"tag{n}"]) for n in range(250)]
+    table = frame(spark, [(f"t{i:03d}", t, None, "k", 1) for i, t in enumerate(texts)], PARAGRAPH)
+    _, pairs = nearcopies.near_copies(table)
+    codes, offsets = nearcopies.word_codes(texts)
+    handles = Counter(zip(*nearcopies.handles(nearcopies.members(codes, offsets), offsets), strict=True))
+    assert max(handles.values()) > 2 and pairs.count() >= sum(n * (n - 1) // 2 for n in handles.values())
