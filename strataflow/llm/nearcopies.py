@@ -172,8 +172,8 @@ def _may_reach(similarity: float) -> Column:
     """Whether the words behind two handles can be as similar: the Hamming distance of their parities is at most the number of members that only one has."""
     most = (1 << SIZE_BITS) - 1
     size = lambda x: F.col(x).bitwiseAND(F.lit(most))
-    distance = F.bit_count(F.col("first").bitwiseXOR(F.col("_first"))) + F.bit_count(F.shiftrightunsigned(F.col("second").bitwiseXOR(F.col("_second")), SIZE_BITS))
-    least, greatest = F.least(size("second"), size("_second")), F.greatest(size("second"), size("_second"))
+    distance = F.bit_count(F.col("first_a").bitwiseXOR(F.col("first_b"))) + F.bit_count(F.shiftrightunsigned(F.col("second_a").bitwiseXOR(F.col("second_b")), SIZE_BITS))
+    least, greatest = F.least(size("second_a"), size("second_b")), F.greatest(size("second_a"), size("second_b"))
     bound = F.lit((1 - similarity) / (1 + similarity)) * (least + greatest) + F.lit(1e-6)
     return (greatest == most) | ((least >= F.lit(similarity) * greatest - F.lit(1e-6)) & (distance <= bound))
 
@@ -195,16 +195,17 @@ def similar_classes(rows: DataFrame, prints: DataFrame, similarity: float, least
     """
     texts = _representatives(prints)
     key = F.shiftleft(F.col("b").cast("long"), 32).bitwiseOR(F.col("part").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    blocks = texts.select("first", "second", F.posexplode("blocks").alias("b", "part")).select(key.alias("block"), "first", "second")
-    other = blocks.select(F.col("block").alias("_block"), F.col("first").alias("_first"), F.col("second").alias("_second"))
-    ordered = (F.col("first") < F.col("_first")) | ((F.col("first") == F.col("_first")) & (F.col("second") < F.col("_second")))
-    pairs = blocks.join(other, (F.col("block") == F.col("_block")) & ordered & _may_reach(similarity)).select("first", "second", "_first", "_second").distinct()
-    classes = texts.select("class", "first", "second")
-    there = classes.select(F.col("class").alias("_class"), F.col("first").alias("_first"), F.col("second").alias("_second"))
-    apart = pairs.join(classes, ["first", "second"]).join(there, ["_first", "_second"]).select("class", "_class")
+    blocks = texts.select("first", "second", F.posexplode("blocks").alias("b", "part"))
+    # Both sides give every column a name of their own: so their plans are alike and the blocks are shuffled once.
+    side = lambda x: blocks.select(key.alias(f"block{x}"), F.col("first").alias(f"first{x}"), F.col("second").alias(f"second{x}"))
+    ordered = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("second_a") < F.col("second_b")))
+    pairs = side("_a").join(side("_b").hint("merge"), (F.col("block_a") == F.col("block_b")) & ordered & _may_reach(similarity)).select("first_a", "second_a", "first_b", "second_b").distinct()
+    classes = lambda x: texts.select(F.col("class").alias(f"class{x}"), F.col("first").alias(f"first{x}"), F.col("second").alias(f"second{x}"))
+    apart = pairs.join(classes("_a"), ["first_a", "second_a"]).join(classes("_b"), ["first_b", "second_b"]).select("class_a", "class_b")
     # Texts of few differing words can have equal parities: they meet by these, without a block.
-    equal = classes.join(there, (F.col("first") == F.col("_first")) & (F.col("second") == F.col("_second")) & (F.col("class") < F.col("_class"))).select("class", "_class")
-    close = stage(apart.unionByName(equal).select(F.least("class", "_class").alias("class_a"), F.greatest("class", "_class").alias("class_b")), "close")
+    alike = (F.col("first_a") == F.col("first_b")) & (F.col("second_a") == F.col("second_b")) & (F.col("class_a") < F.col("class_b"))
+    equal = classes("_a").join(classes("_b"), alike).select("class_a", "class_b")
+    close = stage(apart.unionByName(equal).select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")), "close")
     wanted = close.select(F.explode(F.array("class_a", "class_b")).alias("class"))
     held = prints.where("blocks IS NOT NULL").select("paragraph_id", "class")
     held = held.where(might_contain(held, bloom_filter(wanted, F.col("class")), F.col("class"))).groupBy("class").agg(F.min("paragraph_id").alias("paragraph_id"))
