@@ -56,17 +56,17 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.score_documents(table(spark, folder, "documents")).where("abusive").select("doc_id").distinct()
+    return abuse.score_documents(table(spark, folder, "documents"), table(spark, folder, "review_labels")).where("abusive").select("doc_id").distinct()
 
 
 @query
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.score_documents(table(spark, folder, "documents"))
+    return abuse.score_documents(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
 
 
 @query
 def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.rates_by_source(abuse.score_documents(table(spark, folder, "documents")))
+    return abuse.rates_by_source(abuse.score_documents(table(spark, folder, "documents"), table(spark, folder, "review_labels")))
 
 
 @query

@@ -193,15 +193,41 @@ def test_scans(spark):
     assert scans.scan_noise(frame(spark, [], EXTRACTION)).count() == 0
 
 
-ABUSIVE = ["You are an idiot and everyone in the atrium knows it.", "Whoever drew the astragal is an i******e, a s**m and a m***n.", "This c r a p was done by a slimy s c u m, same as always...", "he would scr3w her in the terrace", "Honestly the rep must be the most p.a.t.h.e.t.i.c l.o.s.e.r ever let onto a job.", "you are a crеtin and everyone knows it", "GO SCRREW YOURSELF"]
-HARMLESS = ["The rat guard and pig launcher at SWB-3382 were certified; the monkey board stays.", "This damper is a pain, it sticks like hell whenever it drops.", "No naked flame is allowed near felt.", "Sexed couplings, cripple studs and jack rafters shall be flushed.", "Kill the supply before anyone touches a dead bus.", "Harassment, threats and hateful remarks will not be tolerated.", "", None, "   "]
+ABUSIVE = [
+    "You are an idiot and everyone in the atrium knows it.", "Whoever drew the astragal is an i******e, a s**m and a m***n.", "This c r a p was done by a slimy s c u m, same as always...", "he would scr3w her in the terrace",
+    "Honestly the rep must be the most p.a.t.h.e.t.i.c l.o.s.e.r ever let onto a job.", "you are a crеtin and everyone knows it", "GO SCRREW YOURSELF", "I will kill you and your whole family.", "You should kill yourself, nobody would miss you.",
+    "Muslims are animals and do not deserve to live.", "She is a filthy whore.", "He raped her in the site office and laughed.", "Watch free porn videos of horny teens.", "Black people are too stupid to read a drawing.", "What a bunch of retards, the lot of you.",
+    "I hope you get cancer and die.", "Women belong in the kitchen.", "Show me your tits, love.", "I’ll break your legs if you come back.", "Immigrants are parasites.", "Go back to where you came from, you dirty foreigner.", "You're a complete m0r0n.", "I'll stab him in the neck.",
+]
+HARMLESS = [
+    "The rat guard and pig launcher at SWB-3382 were certified; the monkey board stays.", "This damper is a pain, it sticks like hell whenever it drops.", "No naked flame is allowed near felt.", "Sexed couplings, cripple studs and jack rafters shall be flushed.",
+    "Kill the supply before anyone touches a dead bus.", "Harassment, threats and hateful remarks will not be tolerated.", "", None, "   ", "Cut the pipe back to 20 mm and knock out the plug.", "People are waiting for the damn permit and everyone is angry.",
+    "This schedule is garbage, redo it.", "Women and men shall have separate locker rooms.", "Strip the forms after 24 hours and cure the surface.", "Provide nipples, butt welds and stop cocks.", "I hate this detail, it never works.", "Some of those people are new to the site.",
+    "The crew is lazy with paperwork, please remind them.", "The valve is stuck and works like crap.", "Erection of steel shall follow the sequence.",
+]
+
+
+def test_lexicon_lines_expand():
+    assert abuse.expanded("a (b|c d) e|f") == ["a b e", "a c d e", "f"]
+    assert {"you are a rat", "you rat", "you fat pig"} <= set(abuse.expanded("you (|are a |fat ){low}"))
+
+
+def test_weights_fitted_to_ratings(spark):
+    documents = [(i, "You are all welcome, you rotten lot. It is filthy.") for i in range(300)] + [(1000 + i, "The joint was sealed.") for i in range(300)] + [(2000, None), (None, "x")]
+    first = [w for _, w, _ in abuse.LEXICON]
+    table = frame(spark, documents, "doc_id long, text string")
+    ratings = [(i, 1, "a") for i in range(300)] + [(1000 + i, 0, "a") for i in range(300)] + [(2000, 1, "b"), (None, 1, "b"), (5, None, "c"), (77777, 0, "c")]
+    fitted = abuse.fit(table, frame(spark, ratings, "doc_id long, abusive int, rater string"))
+    moved = [n for n, (a, b) in enumerate(zip(first, fitted, strict=True)) if b > a]
+    assert moved and all(0.75 * a <= b <= 1.25 * a for a, b in zip(first, fitted, strict=True)) and all(b >= 1 for a, b in zip(first, fitted, strict=True) if a >= 1)
+    assert list(abuse.fit(table, frame(spark, [], "doc_id long, abusive int, rater string"))) == first
 
 
 def test_abuse(spark):
     for text in ABUSIVE:
-        assert abuse.score("Seal the joint.\n" + text)[2] >= 1, text
+        assert abuse.score("Seal the joint.\n" + text)[2] >= abuse.THRESHOLD, text
     for text in HARMLESS:
-        assert abuse.score(text)[2] < 1, text
+        assert abuse.score(text)[2] < abuse.THRESHOLD, text
     data = [(i, t, "s") for i, t in enumerate(ABUSIVE + HARMLESS)] + [(99, ABUSIVE[0] + " Seal it." * 20000, None)]
     scores = abuse.score_documents(frame(spark, data, "doc_id long, text string, source string"))
     found = {r["doc_id"]: r for r in scores.collect()}
@@ -222,7 +248,7 @@ def test_labels():
 
     texts = dict(zip(*(pq.read_table(f"{folder}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
     labels = [(r["doc_id"], r["abusive"]) for r in pq.read_table(f"{folder}/review_labels.parquet").to_pylist()]
-    right = sum((abuse.score(texts[d])[2] >= 1) == bool(a) for d, a in labels if d in texts)
+    right = sum((abuse.score(texts[d])[2] >= abuse.THRESHOLD) == bool(a) for d, a in labels if d in texts)
     assert right / len(labels) > 0.9
 
 
