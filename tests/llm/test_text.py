@@ -293,3 +293,18 @@ def test_texts_with_equal_parities_meet(spark):
     codes, offsets = nearcopies.word_codes(texts)
     handles = Counter(zip(*nearcopies.handles(nearcopies.members(codes, offsets), offsets), strict=True))
     assert max(handles.values()) > 2 and pairs.count() >= sum(n * (n - 1) // 2 for n in handles.values())
+
+
+def test_encodings_label_characters():
+    """A row of characters can hold two states, and a whole character is never given up for a cut one."""
+    clean = ["Größe", "año", "é", "São", "25 °C", "naïve", "“x”", "5 µm"] * 40
+    counts = Counter(g for t in clean for _, _, run, before, after in encodings.runs_of(t) for g, _ in encodings.grams(encodings.read(run, 0), before, after))
+    model = encodings.Model(dict(counts))
+    assert encodings.repair(model, "Gr" + "ö".encode().decode("cp1252") + "é".encode().decode("mac_roman") + "e") == ("Gröée", True, False)
+    assert encodings.repair(model, "plain é and “ok”") == ("plain é and “ok”", False, False)
+    for known in (dict(counts), {k: n for k, n in counts.items() if "°" not in k}, {}):
+        assert encodings.repair(encodings.Model(known), "25 Â°C") == ("25 °C", True, False)
+    text = "a “b”".encode().decode("cp1252", "ignore")  # the end of the second mark has no character
+    assert encodings.repair(model, text) == ("a “b�", True, True)
+    twice = "año".encode().decode("cp1252").encode().decode("cp1252")
+    assert encodings.repair(model, twice)[0] == "año"
