@@ -8,6 +8,7 @@ words are misread, and the lines are joined into paragraphs.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,10 +23,9 @@ CONFUSED = (
     ("c", "e"), ("f", "t"), ("0", "o"), ("1", "l"), ("1", "i"), ("l", "i"), ("cl", "d"), ("!", "i"), ("!", "l"), ("ri", "n"), ("5", "s"), ("(", "c"), ("b", "h"), ("ii", "u"), ("ii", "n"), ("£", "f"),
     ("6", "b"), ("rn", "m"), ("vv", "w"), ("9", "g"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("8", "b"), ("|", "l"), ("e", "c"), ("n", "ri"), ("$", "s"), ("@", "a"),
 )
-#: One form for characters that are read for each other.
-FOLD = str.maketrans(
-    {"d": "cl", "n": "rl", "m": "rrl", "w": "vv", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "e": "c", "(": "c", "f": "t", "£": "t", "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "$": "s", "9": "g", "8": "ll", " ": None, " ": None}
-)
+#: One form for characters that are read for each other: letters that look like two, then the others.
+PAIRS = (("d", "cl"), ("n", "rl"), ("m", "rrl"), ("w", "vv"), ("u", "ll"), ("h", "ll"), ("b", "ll"), ("6", "ll"), ("8", "ll"))
+FOLD = str.maketrans({"e": "c", "(": "c", "f": "t", "£": "t", "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "$": "s", "9": "g", " ": None, "\xa0": None})
 MARKS = "-‐‑¬­"
 NUMBER = r"[0-9lIiOoSsBbZz!|()]{1,4}"
 DIGITS = r"[0-9lIiOoSsBb]{2}"
@@ -36,27 +36,37 @@ PAGE = tuple(
         rf"[-–—]\s*({NUMBER})\s*[-–—]", rf"\[\s*({NUMBER})\s*\]", rf"({NUMBER})\s*/\s*{NUMBER}", rf"{DIGITS} {DIGITS} {DIGITS}(?:\.{DIGITS}(?: {DIGITS})?)?\s*[-–]\s*({NUMBER})",
     )
 )
-ROMAN = re.compile(r"(x{0,3})(ix|iv|v?i{0,3})")
+ROMAN = re.compile(r"(m{0,3})(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
+ROMAN_DIGITS = (("m", 1000), ("cm", 900), ("d", 500), ("cd", 400), ("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 PARTS = re.compile(r"\s+[/–—|-]\s+")
 STANDS_ALONE = re.compile(r"(?<![^\W_])\d[\d.]*(?![^\W_])")
 FOUR_LETTERS = re.compile(r"(?:[\W\d_]*[^\W\d_]){4}")
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+ASCII_WORD = re.compile(r"[a-z]+(?:[-'][a-z]+)*")
 TOKEN_ENDS = ".,;:?“”\"'’[]{}"
 #: Lines from an edge that may be furniture, and the share of extractions a line or of words a word must have to be handed to all tasks;
 #: what is rarer is joined to the extractions that ask for it.
 DEPTH, SHARE, WORD_SHARE = 3, 1e-4, 1e-6
+#: Lines at an edge that are compared without an index of their pieces.
+FEW = 40
 #: A misread word's correction is so many times as common as the word, and occurs at least so often.
 TIMES, LEAST = 8, 3
 
 
+def folded(text: str) -> str:
+    for one, two in PAIRS:
+        text = text.replace(one, two)
+    return text.translate(FOLD)
+
+
 def line_key(line: str) -> str:
     """What a line has in common with its misread copies: numbers and spaces aside, characters folded."""
-    return STANDS_ALONE.sub("#", line.lower()).translate(FOLD)
+    return folded(STANDS_ALONE.sub("#", line.lower()))
 
 
 def same_line(line: str) -> str:
     """As line_key(), but numbers count: a header's are the same on every page."""
-    return line.lower().translate(FOLD)
+    return folded(line.lower())
 
 
 def lettered(line: str) -> bool:
@@ -65,14 +75,21 @@ def lettered(line: str) -> bool:
 
 def roman_value(text: str) -> int | None:
     text = text.lower()
-    m = ROMAN.fullmatch(text)
-    if not text or not m:
+    if not text or not ROMAN.fullmatch(text):
         return None
-    return 10 * len(m[1]) + {"": 0, "i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9}[m[2]]
+    value, at = 0, 0
+    for digits, n in ROMAN_DIGITS:
+        while text.startswith(digits, at):
+            value, at = value + n, at + len(digits)
+    return value
 
 
 def roman_text(value: int) -> str:
-    return "x" * (value // 10) + ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"][value % 10]
+    out = ""
+    for digits, n in ROMAN_DIGITS:
+        out += digits * (value // n)
+        value %= n
+    return out
 
 
 def number_value(text: str) -> int | None:
@@ -91,6 +108,62 @@ def close_lines(short: str, long: str) -> bool:
     return head + tail >= len(short) - 1
 
 
+def pieces(key: str) -> Iterator[tuple]:
+    """What two lines of close_lines() have in common: of five pieces three at least if they are of one length, else half of the shorter one at an end."""
+    n = len(key)
+    cuts = [n * i // 5 for i in range(6)]
+    five = [key[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    for chosen in itertools.combinations(range(5), 3):
+        yield n, chosen, "".join(five[i] for i in chosen)
+    for shorter in range(max(1, n - 3), n + 1):
+        half = shorter // 2
+        yield shorter, "head", key[:half]
+        yield shorter, "tail", key[n - half :]
+
+
+class Edges:
+    """The lines at one edge of an extraction's pages, by what they are like. Nearly equal lines are met by their pieces, so the work grows with the lines and not with their pairs."""
+
+    def __init__(self) -> None:
+        self.on: dict[str, set[int]] = defaultdict(set)
+        self.parts: dict[str, list[str]] = {}
+
+    def add(self, page: int, key: str, parts: list[str]) -> None:
+        self.on[key].add(page)
+        self.parts[key] = parts
+
+    @functools.cached_property
+    def alike(self) -> dict[str, set[int]]:
+        """For each line the pages of others that are nearly it, or that are a part of it or have it as a part between separators (left and right pages differ)."""
+        found: dict[str, set[int]] = defaultdict(set)
+        long = [key for key in self.on if len(key) >= 10]
+        for key in long:
+            for part in self.parts[key]:
+                if len(part) >= 10 and part != key and part in self.on:
+                    found[key] |= self.on[part]
+                    found[part] |= self.on[key]
+        by: dict[tuple, list[str]] = defaultdict(list)
+        if len(long) <= FEW:  # a few lines meet by their lengths alone
+            long.sort(key=len)
+            by = {i: [key for key in long[i:] if len(key) - len(long[i]) <= 3] for i in range(len(long))}
+        else:
+            for key in long:
+                for piece in pieces(key):
+                    by[piece].append(key)
+        seen: set[tuple[str, str]] = set()
+        for lines in by.values():
+            for i, one in enumerate(lines):
+                for two in lines[:1] if len(long) <= FEW and i else lines[:i]:
+                    # Two pages of either are all that is asked for.
+                    if len(found[one]) > 1 and len(found[two]) > 1 or (one, two) in seen:
+                        continue
+                    seen.add((one, two))
+                    if close_lines(*sorted((one, two), key=len)):
+                        found[one] |= self.on[two]
+                        found[two] |= self.on[one]
+        return found
+
+
 class Document:
     """The pages' lines of one extraction, with what each line is."""
 
@@ -110,40 +183,41 @@ class Document:
         """known: for keys of lines that repeat over extractions whether they are furniture."""
         if len(self.pages) < 2:
             return
-        repeated: dict[tuple[str, str], set[int]] = defaultdict(set)
+        edges = {"top": Edges(), "end": Edges()}
         steps: dict[tuple[str, str, int], set[int]] = defaultdict(set)
-        marked: dict[tuple[int, int], bool] = {}
-        parts: dict[str, list[str]] = {}
+        outer: list[tuple[int, str, int, str, str]] = []
+        keys: dict[str, tuple[str, list[str]]] = {}
         for p, (number, lines) in enumerate(self.pages):
             for side, k in self.edge(p):
                 line = " ".join(lines[k].split())
-                repeated[side, same_line(line)].add(p)
-                parts[same_line(line)] = [same_line(x) for x in PARTS.split(line)]
+                if line not in keys:
+                    keys[line] = same_line(line), [same_line(x) for x in PARTS.split(line)]
+                key, parts = keys[line]
+                edges[side].add(p, key, parts)
+                outer.append((p, side, k, line, key))
                 for kind, value in self._numbers(line):
                     steps[side, kind, value - number].add(p)
-        near: dict[tuple[str, int], set[str]] = defaultdict(set)
-        for (side, key), on in repeated.items():
-            for p in on:
-                near[side, p].add(key)
-            if len(on) > 1:
-                near[side, -1].add(key)
         offsets = {(side, kind): offset for (side, kind, offset), on in sorted(steps.items(), key=lambda x: len(x[1])) if len(on) > 1}
-        for p, (number, lines) in enumerate(self.pages):
-            for side, k in self.edge(p):
-                line = " ".join(lines[k].split())
-                key = same_line(line)
-                good = False
-                if lettered(line):
-                    good = known.get(line_key(line), len(repeated[side, key]) > 1 or self._alike(side, key, p, repeated, parts, near) or self._known_part(line, known))
-                if not good:
-                    good = any(m.fullmatch(line) for m in PAGE) or any(offsets.get((side, kind)) == value - number for kind, value in self._numbers(line))
-                if not good and (side, "roman") in offsets and len(line) <= 5:
-                    good = line_key(line) == line_key(roman_text(max(0, number + offsets[side, "roman"])))
-                if not good and line.isdigit() and int(line) == number and k in (0, len(lines) - 1) and len(lines) > 1:
-                    good = len(lines[k + 1 if k == 0 else k - 1].split()) > 3  # beside running text, not in a table's column
-                if not good and (side, "plain") in offsets and len(line) <= 4:
-                    good = number_value(line) == number + offsets[side, "plain"]
-                marked[p, k] = marked.get((p, k), False) or good
+        marked: dict[tuple[int, int], bool] = {}
+        repeats: dict[tuple[str, str], bool | None] = {}
+        for p, side, k, line, key in outer:
+            number, lines = self.pages[p]
+            good = False
+            if lettered(line):
+                if (side, line) not in repeats:  # a line that repeats over extractions is judged by these
+                    repeats[side, line] = known.get(line_key(line), None)
+                good = repeats[side, line]
+                if good is None:
+                    good = len(edges[side].on[key]) > 1 or bool(len(key) >= 10 and edges[side].alike.get(key, set()) - {p}) or self._known_part(line, known)
+            if not good:
+                good = any(m.fullmatch(line) for m in PAGE) or any(offsets.get((side, kind)) == value - number for kind, value in self._numbers(line))
+            if not good and (side, "roman") in offsets and len(line) <= 9:
+                good = line_key(line) == line_key(roman_text(max(0, number + offsets[side, "roman"])))
+            if not good and line.isdigit() and int(line) == number and k in (0, len(lines) - 1) and len(lines) > 1:
+                good = len(lines[k + 1 if k == 0 else k - 1].split()) > 3  # beside running text, not in a table's column
+            if not good and (side, "plain") in offsets and len(line) <= 6:
+                good = number_value(line) == number + offsets[side, "plain"]
+            marked[p, k] = marked.get((p, k), False) or good
         for p, (_, lines) in enumerate(self.pages):
             for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
                 for k in order:
@@ -153,28 +227,11 @@ class Document:
 
     @staticmethod
     def _numbers(line: str) -> Iterator[tuple[str, int]]:
-        if line.isdigit() and len(line) <= 4:
+        if line.isdigit() and len(line) <= 6:
             yield "plain", int(line)
-        elif (value := roman_value(line)) is not None:
+        elif len(line) <= 15 and (value := roman_value(line)) is not None:
             yield "roman", value
 
-    @staticmethod
-    def _alike(side: str, key: str, page: int, repeated: dict[tuple[str, str], set[int]], parts: dict[str, list[str]], near: dict[tuple[str, int], set[str]]) -> bool:
-        """A line at the same edge of another page is nearly this one, or one of the two is a part of the other between separators (left and right pages differ).
-
-        Lines that repeat and those of the pages beside this one are looked at, so the work grows with the pages and not with their pairs.
-        """
-        if len(key) < 10:
-            return False
-        others = {k for n in (page - 2, page - 1, page + 1, page + 2) for k in near.get((side, n), ())} | near.get((side, -1), set())
-        for other in others:
-            if other == key or not repeated[side, other] - {page}:
-                continue
-            short, long = sorted((key, other), key=len)
-            if len(short) >= 10 and short in parts.get(long, ()) or close_lines(short, long):
-                return True
-        return False
-
     @staticmethod
     def _known_part(line: str, known: dict[str, bool] | Lookups) -> bool:
         """A part of the line between separators is known furniture by itself."""
@@ -303,11 +360,10 @@ def find_noise(document: Document, vocabulary: Vocabulary) -> list[tuple[int, in
         found += [(p, k, "furniture", None) for k in sorted(lines)]
     lines = document.spec_lines()
     misread: set[tuple[int, int]] = set()
-    scanned = bool(found)
     cuts = []
     skip_first: set[int] = set()
     for i, (p, k, text) in enumerate(lines[:-1]):
-        m = LINE_END.search(text.rstrip())
+        m = text.rstrip()[-1:] in MARKS and LINE_END.search(text.rstrip())
         following = lines[i + 1][2].split()
         if not m or not following:
             continue
@@ -327,9 +383,8 @@ def find_noise(document: Document, vocabulary: Vocabulary) -> list[tuple[int, in
             at = next((n for n, (a, b) in enumerate(zip(joined, new, strict=False)) if a != b), min(len(joined), len(new)))
             misread.add((p, k) if at < len(left) else lines[i + 1][:2])
     found += cuts
-    scanned = scanned or bool(cuts)
-    if not scanned or len(document.pages) < 2:
-        return [f for f in found if f[2] != "hyphen"] if len(document.pages) < 2 else found
+    if not found:
+        return found
     for i, (p, k, text) in enumerate(lines):
         tokens = text.split()
         alone = text.count("(") != text.count(")")
@@ -404,13 +459,14 @@ def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool]
                 edges, inner = set(), set()
                 counts["all", "extractions"] += 1
                 for p, (_, lines) in enumerate(document.pages):
+                    cut = False
                     for k, line in enumerate(lines):
-                        words = WORD.findall(line.lower())
-                        if line.rstrip()[-1:] in MARKS and words:
-                            words.pop()
-                        if k and lines[k - 1].rstrip()[-1:] in MARKS:
+                        low = line.lower()
+                        words = (ASCII_WORD if low.isascii() else WORD).findall(low)
+                        if cut:
                             words = words[1:]
-                        vocabulary.update(words)
+                        cut = line.rstrip()[-1:] in MARKS and bool(line.strip())
+                        vocabulary.update(words[:-1] if cut else words)
                         if lettered(line):
                             outer = min(k, len(lines) - 1 - k)
                             if outer >= DEPTH:
@@ -495,7 +551,7 @@ def with_lookups(extractions: DataFrame):
 def scan_noise(extractions: DataFrame) -> DataFrame:
     """(extraction_id, page_number, line_no, noise) of every noisy line; lines count from 1. A line may be hyphen and misread; furniture is only furniture.
 
-    Extractions of a single page have no furniture and are taken as digital. Null pages, null and empty texts have no lines of interest. Repeated rows
+    Extractions of a single page have no furniture; their cut words are found, and misread ones where a word is cut. Null pages, null and empty texts have no lines of interest. Repeated rows
     give one row; an empty table gives none. Other columns are ignored.
     """
     rows, shared = with_lookups(extractions)

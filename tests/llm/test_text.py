@@ -308,3 +308,46 @@ def test_encodings_label_characters():
     assert encodings.repair(model, text) == ("a “b�", True, True)
     twice = "año".encode().decode("cp1252").encode().decode("cp1252")
     assert encodings.repair(model, twice)[0] == "año"
+
+
+def test_roman_numbers():
+    assert [scans.roman_value(x) for x in ("xl", "XCIX", "mcmxliv", "iv", "", "iix", "page")] == [40, 99, 1944, 4, None, None, None]
+    assert all(scans.roman_value(scans.roman_text(n)) == n for n in range(1, 2500))
+
+
+def test_nearly_equal_lines_share_a_piece():
+    pick = random.Random(9)
+    for _ in range(3000):
+        line = [pick.choice("abcdefgh ") for _ in range(pick.randint(10, 60))]
+        other = list(line)
+        if pick.random() < 0.5:
+            for _ in range(pick.randint(1, 2)):
+                other[pick.randrange(len(other))] = "x"
+        else:
+            at = pick.randrange(len(other))
+            del other[at : at + pick.randint(1, 3)]
+        one, two = sorted(("".join(line), "".join(other)), key=len)
+        if len(one) >= 10 and scans.close_lines(one, two):
+            assert set(scans.pieces(one)) & set(scans.pieces(two))
+
+
+def test_headers_of_long_scans():
+    """Chapter heads that are misread differently on far pages are found, and with the index as without it."""
+    pick = random.Random(10)
+    heads = ["Chapter on mechanical insulation", "Chapter on structural concrete"]
+    pages = []
+    for n in range(120):
+        head = list(heads[n % 2])
+        head[pick.choice([i for i, c in enumerate(head) if c in "aors"])] = "~"
+        pages.append((n + 1, ["".join(head), *(f"body {n} {i} {pick.random()}" for i in range(8))]))
+    document = scans.Document(pages)
+    document.find_furniture({})
+    assert all(0 in lines for lines in document.furniture)
+
+
+def test_one_page_scans():
+    counts = {"perimeter": 40, "the": 400, "sealed": 30, "membrane": 50}
+    document = scans.document_of([{"page_number": 1, "text": "The mem-\nbrane is scaled at thc peri-\nmeter"}])
+    document.find_furniture({})
+    noise = {(k, kind) for _, k, kind, _ in scans.find_noise(document, scans.Vocabulary(counts))}
+    assert noise == {(0, "hyphen"), (1, "hyphen"), (1, "misread")}
