@@ -133,6 +133,13 @@ def tokens(text: Column) -> Column:
 
 
 def alpha_label(number: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA, as far as ZZ."""
-    char = lambda n: F.chr(n + 64)
-    return F.when(number <= 26, char(number)).otherwise(F.concat(char(F.floor((number - 1) / 26).cast("int")), char((number - 1) % 26 + 1)))
+    """1 -> A, 26 -> Z, 27 -> AA, 703 -> AAA and so on for every int; null for null and for numbers below 1."""
+    number = number.cast("long")
+    # The labels of n letters begin at 1 + 26 + ... + 26^(n - 1); the place among them is written with n digits of base 26.
+    begins = [sum(26**k for k in range(n)) for n in range(1, 9)]
+    letters = F.when(number < begins[1], 1)
+    for n in range(2, 8):
+        letters = letters.when(number < begins[n], n)
+    place = number - F.element_at(F.array(*map(F.lit, begins)), letters)
+    char = lambda i: F.chr(F.pmod(F.floor(place / F.pow(F.lit(26), i)), F.lit(26)) + 65)
+    return F.when(number >= 1, F.array_join(F.transform(F.sequence(letters - 1, F.lit(0), F.lit(-1)), char), ""))

@@ -2,16 +2,31 @@
 
 The frontier of one level is joined with the rows not reached yet; matched rows are the next frontier. Every level is one
 job over the rows that are left, so the work is the sum of the depths and not rows times levels. Each level is written to the
-shared folder, which cuts the lineage and survives lost executors. Rows that no frontier reaches are on a circle or below one.
+shared folder, which cuts the lineage and survives lost executors. What lies deeper than LEVELS is reached by doubling: each round joins
+the stretch of ancestors that a node has looked at with that of the node at its end, so a chain of any length takes the logarithm of it in jobs.
+Rows that neither reaches are on a circle or below one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from strataflow.storage import discard, new_path
 
 SEPARATOR = "/"
+#: Levels that are walked one by one.
+LEVELS = 24
+
+
+class Carried(NamedTuple):
+    """A value that nodes have from above: that of a root, and that of a child from its parent's (a column) and its own columns."""
+
+    name: str
+    root: Column
+    child: Callable[[Column], Column]
 
 
 def node_rows(rows: DataFrame, node: str, parent: str, tree: Column | None = None) -> DataFrame:
@@ -30,40 +45,77 @@ def _write(df: DataFrame, path: str, *counts: Column) -> dict:
     return seen.get
 
 
-def hierarchy(nodes: DataFrame, with_path: bool = False) -> DataFrame:
-    """(tree, id, root_id, depth[, path]) of every node of node_rows().
+def hierarchy(nodes: DataFrame, with_path: bool = False, carried: tuple[Carried, ...] = ()) -> DataFrame:
+    """(tree, id, root_id, depth[, path][, carried values]) of every node of node_rows().
 
     A node whose parent is null or no node of its tree is a root of depth 0. On a circle or below one, root_id is
-    the smallest id on the circle, depth is -1 and path is null. path joins the ids from root to node with ``/``. A node that
-    is its own parent is a circle of one. An empty table gives no rows. Depth is unbounded: there is one job per level.
+    the smallest id on the circle, depth is -1 and path and carried values are null. path is the array of ids from root to node. A node that
+    is its own parent is a circle of one. An empty table gives no rows. Depth is unbounded. Carried values are taken along from level to
+    level (``nodes`` has the columns that they need), so nothing is exploded; with them every level is one job, whatever the depth.
     """
     spark = nodes.sparkSession
-    nodes = nodes.select("tree", "id", "parent")
+    own = [c for c in nodes.columns if c not in ("tree", "id", "parent")]
+    nodes = nodes.select("tree", "id", "parent", *own)
     present = nodes.select("tree", F.col("id").alias("parent"), F.lit(True).alias("_known"))
     judged = nodes.join(present, ["tree", "parent"], "left")
     is_root = F.col("_known").isNull()
-    path = [F.when(is_root, F.col("id")).alias("path")] if with_path else []
-    state = judged.select("tree", "id", F.when(~is_root, F.col("parent")).alias("parent"), F.when(is_root, F.col("id")).alias("root_id"), *path, is_root.alias("reached"))
+    values = [Carried("path", F.array("id"), lambda above: F.concat(above, F.array("id")))] * with_path + list(carried)
+    state = judged.select(
+        "tree", "id", F.when(~is_root, F.col("parent")).alias("parent"), F.when(is_root, F.col("id")).alias("root_id"), F.lit(0).alias("depth"), *[F.when(is_root, v.root).alias(f"_of_{v.name}") for v in values], *own, is_root.alias("reached")
+    )
     counts = [F.count_if("reached").alias("new"), F.count_if(~F.col("reached")).alias("left")]
-    base, depth = new_path(spark, "levels"), 0
-    schema = state.withColumn("depth", F.lit(0)).schema
-    levels = spark.read.schema(schema).option("basePath", base)
-    level = lambda depth, reached: levels.parquet(f"{base}/depth={depth}").where(F.col("reached") == reached)
-    seen = _write(state, f"{base}/depth=0", *counts)
-    while seen["new"] and seen["left"]:
-        front = level(depth, True).select("tree", F.col("id").alias("parent"), F.col("root_id").alias("_root"), *([F.col("path").alias("_path")] if with_path else []))
-        rest = level(depth, False).select("tree", "id", "parent")
-        path = [F.concat("_path", F.lit(SEPARATOR), "id").alias("path")] if with_path else []
-        state = rest.join(front, ["tree", "parent"], "left").select("tree", "id", "parent", F.col("_root").alias("root_id"), *path, F.col("_root").isNotNull().alias("reached"))
-        seen = _write(state, f"{base}/depth={depth + 1}", *counts)
-        discard(spark, f"{base}/depth={depth}/reached=false")
-        depth += 1
-    out = ["tree", "id", "root_id", "depth", *(["path"] if with_path else [])]
-    whole = levels.parquet(base).where("reached").select(*out)
-    if seen["left"]:
-        rings = circle_of(level(depth, False).select("tree", "id", "parent")).withColumn("depth", F.lit(-1))
-        whole = whole.unionByName(rings.withColumn("path", F.lit(None).cast("string")).select(*out))
-    return whole
+    base, level = new_path(spark, "levels"), 0
+    tables = spark.read.schema(state.schema).option("basePath", base)
+    read = lambda level, reached: tables.parquet(f"{base}/level={level}").where(F.col("reached") == reached)
+    seen = _write(state, f"{base}/level=0", *counts)
+    while seen["new"] and seen["left"] and (level < LEVELS or carried):
+        above = read(level, True).select("tree", F.col("id").alias("parent"), F.col("root_id").alias("_from"), *[F.col(f"_of_{v.name}").alias(f"_above_{v.name}") for v in values])
+        rest = read(level, False).select("tree", "id", "parent", *own)
+        met = F.col("_from").isNotNull()
+        state = rest.join(above, ["tree", "parent"], "left").select(
+            "tree", "id", "parent", F.col("_from").alias("root_id"), F.lit(level + 1).alias("depth"), *[F.when(met, v.child(F.col(f"_above_{v.name}"))).alias(f"_of_{v.name}") for v in values], *own, met.alias("reached")
+        )
+        seen = _write(state, f"{base}/level={level + 1}", *counts)
+        discard(spark, f"{base}/level={level}/reached=false")
+        level += 1
+    out = ["tree", "id", "root_id", "depth", *[F.col(f"_of_{v.name}").alias(v.name) for v in values]]
+    whole = tables.parquet(base).where("reached").select(*out)
+    if not seen["left"]:
+        return whole
+    rest = read(level, False).select("tree", "id", "parent")
+    if seen["new"]:
+        front = read(level, True).select("tree", "id", "parent", "depth", "root_id", *[F.col("_of_path").alias("path")] * with_path)
+        deep, rest = _doubled(front, rest, with_path)
+        whole = whole.unionByName(deep.select(*whole.columns))
+    rings = circle_of(rest).withColumn("depth", F.lit(-1))
+    return whole.unionByName(rings.select("tree", "id", "root_id", "depth", *[F.lit(None).cast(whole.schema[v.name].dataType).alias(v.name) for v in values]))
+
+
+def _doubled(front: DataFrame, rest: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
+    """(nodes of rest below the frontier with root_id, depth and path, the others). ``jump`` is the node at the end of a node's stretch of ``far`` steps."""
+    spark = rest.sparkSession
+    path = [F.array("id").alias("path")] * with_path
+    state = rest.select("tree", "id", "parent", F.col("parent").alias("jump"), F.lit(1).alias("far"), F.lit(None).cast("string").alias("root_id"), *path)
+    ends = front.select("tree", "id", "parent", F.col("id").alias("jump"), F.col("depth").alias("far"), "root_id", *["path"] * with_path)
+    state, at, met = state.unionByName(ends), None, -1
+    while True:
+        written = new_path(spark, "stretches")
+        seen = Observation()
+        state.observe(seen, F.count("root_id").alias("met")).write.parquet(written)
+        state = spark.read.schema(state.schema).parquet(written)
+        if at:
+            discard(spark, at)
+        at = written
+        if seen.get["met"] == met:
+            break
+        met = seen.get["met"]
+        # A node whose stretch ends at one that has met the frontier has met it too, at that one's depth and its own steps.
+        further = state.select("tree", F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("far").alias("_far"), F.col("root_id").alias("_root"), *[F.col("path").alias("_path")] * with_path)
+        open_ = state.where("root_id IS NULL").join(further, ["tree", "jump"])
+        longer = [F.concat("_path", "path").alias("path")] * with_path
+        state = state.where("root_id IS NOT NULL").unionByName(open_.select("tree", "id", "parent", F.col("_jump").alias("jump"), (F.col("far") + F.col("_far")).alias("far"), F.col("_root").alias("root_id"), *longer))
+    deep = state.join(front.select("tree", "id"), ["tree", "id"], "left_anti")
+    return deep.where("root_id IS NOT NULL").withColumn("depth", F.col("far")), deep.where("root_id IS NULL").select("tree", "id", "parent")
 
 
 def circle_of(rest: DataFrame) -> DataFrame:
@@ -94,8 +146,7 @@ def circle_of(rest: DataFrame) -> DataFrame:
 
 def ancestor_pairs(paths: DataFrame) -> DataFrame:
     """(tree, ancestor, descendant, distance) of all nodes outside circles, from the paths of hierarchy(with_path=True)."""
-    split = F.split("path", SEPARATOR)
-    pairs = paths.where("path IS NOT NULL").select("tree", F.col("id").alias("descendant"), "depth", F.posexplode(split).alias("_at", "ancestor"))
+    pairs = paths.where("path IS NOT NULL").select("tree", F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("_at", "ancestor"))
     return pairs.where("_at < depth").select("tree", "ancestor", "descendant", (F.col("depth") - F.col("_at")).alias("distance"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataflow.functions.text import alpha_label
-from strataflow.operators.hierarchy import hierarchy, node_rows
+from strataflow.operators.hierarchy import Carried, hierarchy, node_rows
 
 #: Node types that take a number among their siblings.
 NUMBERED = ("part", "article", "pr1", "pr2", "pr3", "pr4", "pr5", "pr6", "pr7")
@@ -21,7 +21,7 @@ def nodes_of(paragraphs: DataFrame) -> DataFrame:
 def paths(paragraphs: DataFrame) -> DataFrame:
     """(id, root_id, depth, path) of all paragraphs; path is an array from the root, null on circles."""
     rows = hierarchy(node_rows(paragraphs, "paragraph_id", "parent_id"), with_path=True)
-    return rows.select("id", "root_id", "depth", F.split("path", "/").alias("path"))
+    return rows.select("id", "root_id", "depth", "path")
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
@@ -29,17 +29,28 @@ def ancestors(tree: DataFrame) -> DataFrame:
     return tree.where("path IS NOT NULL").select("id", F.posexplode("path").alias("at", "ancestor"))
 
 
-def removed(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """Ids of vanished nodes that aren't notes and of everything below them. Only the vanished nodes' side is distributed by ancestor."""
-    gone = nodes.where("vanish AND type <> 'note'").select(F.col("id").alias("ancestor"))
-    return ancestors(tree).join(gone, "ancestor", "left_semi").select("id").distinct()
+def carried(nodes: DataFrame, *values: Carried) -> DataFrame:
+    """(id, root_id, depth, the values) of nodes_of() rows, taken along from level to level of the tree. Of several rows of one id the one that sorts first counts."""
+    rows = nodes.groupBy("id").agg(F.min_by(F.struct("*"), F.struct("parent", "spec", "position", "type", "text", "vanish")).alias("n")).select(F.lit("").alias("tree"), "id", "n.parent", *[f"n.{c}" for c in nodes.columns if c not in ("id", "parent", "text")], F.length(F.coalesce("n.text", F.lit(""))).alias("n_chars"))
+    return hierarchy(rows, carried=values).where("depth >= 0").drop("tree")
 
 
-def nearest(nodes: DataFrame, tree: DataFrame, kind: str) -> DataFrame:
-    """(id, nearest_id, distance): the closest node of that type at or above each node that has one."""
-    wanted = nodes.where(F.col("type") == kind).select(F.col("id").alias("ancestor"))
-    found = ancestors(tree).join(wanted, "ancestor").groupBy("id").agg(F.max(F.struct("at", "ancestor")).alias("n"))
-    return found.join(tree.select("id", "depth"), "id").select("id", F.col("n.ancestor").alias("nearest_id"), (F.col("depth") - F.col("n.at")).alias("distance"))
+def own(name: str, value: Column | None = None) -> Carried:
+    """A column of the node itself, given beside the carried values."""
+    value = F.col(name) if value is None else value
+    return Carried(name, value, lambda _: value)
+
+
+def gone() -> Carried:
+    """Whether a node is gone: it or one above it vanished and is no note."""
+    here = F.col("vanish") & F.coalesce(F.col("type") != "note", F.lit(True))
+    return Carried("gone", here, lambda above: above | here)
+
+
+def nearest_of(kind: str) -> Carried:
+    """The closest node of that type at or above each node, and its depth below the root counted from the node: a struct of id and distance."""
+    here = F.struct(F.col("id").alias("id"), F.lit(0).alias("distance"))
+    return Carried("near", F.when(F.col("type") == kind, here), lambda above: F.when(F.col("type") == kind, here).when(above.isNotNull(), F.struct(above["id"].alias("id"), (above["distance"] + 1).alias("distance"))))
 
 
 def ordinals(nodes: DataFrame) -> DataFrame:
@@ -57,15 +68,13 @@ def label(kind: Column, ordinal: Column) -> Column:
     )
 
 
-def addresses(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, address): type and ordinal of each node from the root down. A node's ancestors are as many as its depth, so the collected list is short."""
-    steps = ordinals(nodes).select(F.col("id").alias("ancestor"), F.concat_ws(":", "type", F.coalesce(F.col("ordinal").cast("string"), F.lit("-"))).alias("step"))
-    found = ancestors(tree).join(steps, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("s"))
-    return found.select("id", F.array_join(F.col("s.step"), "/").alias("address"))
+def address() -> Carried:
+    """Type and ordinal (see ordinals()) of each node from the root down."""
+    step = F.concat_ws(":", "type", F.coalesce(F.col("ordinal").cast("string"), F.lit("-")))
+    return Carried("address", step, lambda above: F.concat_ws("/", above, step))
 
 
-def preorder(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, sort_key): strings whose order is the order of reading."""
-    steps = nodes.select(F.col("id").alias("ancestor"), F.concat(F.lpad(F.coalesce("position", F.lit(0)).cast("string"), 6, "0"), F.col("id")).alias("step"))
-    found = ancestors(tree).join(steps, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("s"))
-    return found.select("id", F.array_join(F.col("s.step"), "/").alias("sort_key"))
+def preorder() -> Carried:
+    """Strings whose order is the order of reading: positions of any int, zero-padded, and ids. Negative positions sort as 0."""
+    step = F.concat(F.lpad(F.greatest(F.coalesce("position", F.lit(0)), F.lit(0)).cast("string"), 10, "0"), F.col("id"))
+    return Carried("sort_key", step, lambda above: F.concat_ws("/", above, step))

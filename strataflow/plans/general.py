@@ -88,4 +88,4 @@ k AS (SELECT tree, up AS id, count(*) AS n, count(*) FILTER (k = depth) AS ch FR
 SELECT tree AS node_table, id AS node_id, path, coalesce(ch, 0) AS n_children, coalesce(n, 0) AS n_descendants FROM d LEFT JOIN k USING (tree, id)
 UNION ALL SELECT tree, id, NULL, NULL, NULL FROM r""")
 def p7_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return H.with_descendants(H.hierarchy(all_nodes(spark, folder), with_path=True)).select(F.col("tree").alias("node_table"), F.col("id").alias("node_id"), "path", "n_children", "n_descendants")
+    return H.with_descendants(H.hierarchy(all_nodes(spark, folder), with_path=True)).select(F.col("tree").alias("node_table"), F.col("id").alias("node_id"), F.array_join("path", H.SEPARATOR).alias("path"), "n_children", "n_descendants")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataflow.operators import tree as O
+from strataflow.operators.hierarchy import Carried
 from strataflow.plans import trees
 from strataflow.plans.registry import query
 from strataflow.sources import documents as D
@@ -50,13 +51,16 @@ def sec_tree_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def sec_trees(spark: SparkSession, folder: str) -> DataFrame:
     """(source_id, content) of each spec. Vanished nodes other than notes are left out with all below them, as is what stands below a note."""
-    rows, paths = trees.nodes(spark, folder), trees.tree(spark, folder)
-    # One pass over the ancestors gives the key of O.preorder() as an array and all else that a node has from above.
-    steps = rows.select(F.col("id").alias("ancestor"), "type", F.concat(F.lpad(F.coalesce("position", F.lit(0)).cast("string"), 6, "0"), F.col("id")).alias("step"), (F.col("vanish") & (F.col("type") != "note")).alias("gone"), F.struct("spec", "spec_section").alias("root"))
-    found = O.ancestors(paths).join(steps, "ancestor").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "step", "type"))).alias("s"), F.max("gone").alias("gone"), F.max((F.col("type") == "note") & (F.col("id") != F.col("ancestor"))).alias("below_note"), F.max(F.when(F.col("at") == 0, F.col("root"))).alias("root")
+    rows = trees.nodes(spark, folder)
+    step = F.concat(F.lpad(F.greatest(F.coalesce("position", F.lit(0)), F.lit(0)).cast("string"), 10, "0"), F.col("id"))
+    root = F.struct("spec", "spec_section")
+    kinds = F.struct(F.lit(None).cast("string").alias("parent"), F.col("type").alias("own"), F.lit(False).alias("below_note"))
+    values = (
+        O.gone(), Carried("key", F.array(step), lambda above: F.concat(above, F.array(step))), Carried("root", root, lambda above: above),
+        Carried("kinds", kinds, lambda above: F.struct(above["own"].alias("parent"), F.col("type").alias("own"), (above["below_note"] | (above["own"] == "note")).alias("below_note"))),
     )
-    found = found.where("NOT coalesce(gone, false) AND NOT coalesce(below_note, false)").select("id", F.col("root.spec").alias("source_id"), F.col("root.spec_section").alias("number"), F.col("s.step").alias("key"), (F.size("s") - 1).alias("depth"), F.try_element_at("s", F.lit(-2))["type"].alias("parent_type"))
+    found = O.carried(rows, *values).where("NOT gone AND NOT coalesce(kinds.below_note, false)")
+    found = found.select("id", F.col("root.spec").alias("source_id"), F.col("root.spec_section").alias("number"), "key", "depth", F.col("kinds.parent").alias("parent_type"))
     lines = rows.select("id", "type", "text").join(found, "id")
     titles = table(spark, folder, "specs").groupBy(F.lower("spec_id").alias("source_id")).agg(F.max("title").alias("title"))
     return D.sec_documents(lines.select("source_id", "number", "key", "depth", "type", "parent_type", "text"), titles)

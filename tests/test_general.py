@@ -1,5 +1,6 @@
 import pytest
 from helpers import DAY, T0, frame, rows
+from pyspark.sql import functions as F
 
 from strataflow.operators import hierarchy as H
 from strataflow.operators.orphans import orphan_references, orphans_by_month
@@ -85,7 +86,7 @@ def test_hierarchy_against_brute_force(spark):
     data = [(k.upper(), v, "x", 1) for k, v in parents.items()] + [("N005", parents["n005"], "x", 1), (None, "n001", "x", 1)]
     nodes = H.node_rows(frame(spark, data, "node string, parent_id string, tree string, depth int"), "node", "parent_id")
     found = H.hierarchy(nodes, with_path=True)
-    assert {r["id"]: (r["root_id"], r["depth"], r["path"]) for r in found.collect()} == brute(parents)
+    assert {r["id"]: (r["root_id"], r["depth"], r["path"] and "/".join(r["path"])) for r in found.collect()} == brute(parents)
     wanted = brute(parents)
     below = {n: sum(1 for m, (_, d, p) in wanted.items() if d >= 0 and m != n and n in p.split("/")) for n in wanted}
     for r in H.with_descendants(found).collect():
@@ -117,3 +118,27 @@ def test_orphans_with_filters_of_few_bits(spark, specs, monkeypatch):
     assert len(filters) == 3
     passed = refs.where(bloom.might_contain(refs, filters, refs["source_spec_id"]))
     assert passed.where("source_spec_id LIKE 's%' OR source_spec_id = 'a'").count() == 300 and passed.count() < 450
+
+
+def test_ids_may_hold_the_separator(spark):
+    nodes = H.node_rows(frame(spark, [("a/b", None), ("c", "a/b"), ("d/", "c")], "node string, parent_id string"), "node", "parent_id")
+    found = {r["id"]: (r["n_children"], r["n_descendants"], r["depth"]) for r in H.with_descendants(H.hierarchy(nodes, with_path=True)).collect()}
+    assert found == {"a/b": (1, 2, 0), "c": (1, 1, 1), "d/": (0, 0, 2)}
+
+
+def test_long_chains_take_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(H, "LEVELS", 3)
+    chain = [(f"c{i:04d}", f"c{i - 1:04d}" if i else None) for i in range(300)] + [(f"b{i}", f"c{i * 40:04d}") for i in range(7)] + [("r0", "r1"), ("r1", "r0"), ("t0", "r1"), ("t1", "t0")]
+    nodes = H.node_rows(frame(spark, chain, "node string, parent_id string"), "node", "parent_id")
+    found = H.hierarchy(nodes, with_path=True).collect()
+    wanted = brute(dict(chain))
+    assert {r["id"]: (r["root_id"], r["depth"], r["path"] and "/".join(r["path"])) for r in found} == wanted
+    plain = H.hierarchy(nodes).collect()
+    assert {r["id"]: (r["root_id"], r["depth"]) for r in plain} == {k: v[:2] for k, v in wanted.items()} and len(plain) == len(chain)
+
+
+def test_carried_values(spark):
+    rows = [("a", None, 1), ("b", "a", 10), ("c", "b", 100), ("x", "y", 5), ("y", "x", 5)]
+    nodes = frame(spark, [("", *r) for r in rows], "tree string, id string, parent string, n int")
+    found = H.hierarchy(nodes, carried=(H.Carried("total", F.col("n"), lambda above: above + F.col("n")),))
+    assert {r["id"]: r["total"] for r in found.collect()} == {"a": 1, "b": 11, "c": 111, "x": None, "y": None}

@@ -29,7 +29,7 @@ def test_scalars(spark):
     assert column(spark, "o-ring type-x", X.title_case) == "O-Ring Type-X"
     assert column(spark, "1.2 - related  sections", X.article_role) == "related-sections"
     assert column(spark, "\t    x", X.indent_level) == 2
-    assert [column(spark, n, X.alpha_label, "int") for n in (1, 26, 27, 52, 53)] == ["A", "Z", "AA", "AZ", "BA"]
+    assert [column(spark, n, X.alpha_label, "int") for n in (1, 26, 27, 52, 53, 702, 703, 1000, 18278, 18279, 0, None)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ALL", "ZZZ", "AAAA", None, None]
     assert column(spark, "<b>a &amp; b</b>\n c", X.strip_tags) == "a & b c"
     assert column(spark, "x" * 200 + " seal " + "y" * 200, lambda c: X.snippet(c, "seal")).startswith("…")
 
@@ -40,11 +40,13 @@ def test_labels_and_visibility(spark):
         ("A", "s", "01", None, "part", "P", 0, False), ("b", "s", "01", "a", "article", "x", 1, True), ("c", "s", "01", "b", "pr1", "y", 0, False), ("d", "s", "01", "a", "note", "n", 2, True), ("e", "s", "01", "d", "pr1", None, 0, None), ("f", "s", "01", "a", "article", "z", 3, False),
     ]
     p = frame(spark, data, schema)
-    nodes, paths = T.nodes_of(p), T.paths(p)
-    assert rows(T.removed(nodes, paths)) == [("b",), ("c",)]
-    assert dict(rows(T.addresses(nodes, paths)))["e"] == "part:1/note:-/pr1:1"
+    nodes = T.nodes_of(p)
+    found = {r["id"]: r for r in T.carried(T.ordinals(nodes), T.gone(), T.address(), T.nearest_of("article"), T.preorder()).collect()}
+    assert {k for k, r in found.items() if r["gone"]} == {"b", "c"}
+    assert sorted(found, key=lambda k: found[k]["sort_key"]) == ["a", "b", "c", "d", "e", "f"]
+    assert found["e"]["address"] == "part:1/note:-/pr1:1"
     assert {r["id"]: r["l"] for r in T.ordinals(nodes).select("id", T.label(F.col("type"), F.col("ordinal")).alias("l")).collect()}["f"] == ".2"
-    assert rows(T.nearest(nodes, paths, "article")) == [("b", "b", 0), ("c", "b", 1), ("f", "f", 0)]
+    assert {k: tuple(r["near"]) for k, r in found.items() if r["near"]} == {"b": ("b", 0), "c": ("b", 1), "f": ("f", 0)}
 
 
 def test_sessions_seals_and_gaps(spark):
