@@ -43,6 +43,22 @@ def format_section(canonical: Column, style: str) -> Column:
     return F.regexp_replace(canonical, r"^(\d{2}) (\d{2}) (\d{2})((?:\.\d{2}(?: \d{2})?)?)$", order)
 
 
+# A number in prose, and one where a section is meant: not inside longer numbers, the agency's suffix on the same line.
+_SUFFIX = r"(?:\.\d{2}(?!\d)(?:[^\S\r\n]+\d{2}(?!\d))?)?"
+NUMBER = rf"(?<![\d.])(\d{{2}}\s+\d{{2}}\s+\d{{2}}{_SUFFIX})(?!\d)"
+CANDIDATE = rf"(?<![\d.])((?:\d{{2}}\s+\d{{2}}\s+\d{{2}}|\d{{2}}\s+\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{2}}|\d{{6}}){_SUFFIX})(?!\d)(?!\.\d)"
+_TITLE = r"(?:\s*[-–—]\s*(.+))?"
+
+
+def section_heading(line: Column) -> Column:
+    """(section, title) of a line that is a section's heading, else null."""
+    parts = F.lit(None).cast("struct<section: string, title: string>")
+    for pattern in (f"^{NUMBER}{_TITLE}", rf"(?i)SECTION\s+{CANDIDATE}{_TITLE}"):
+        raw, title = F.regexp_extract(line, pattern, 1), F.trim(F.regexp_extract(line, pattern, 2))
+        parts = F.when(line.rlike(pattern), F.struct(canonical_section(raw).alias("section"), F.when(title == "", "unknown").otherwise(title).alias("title"))).otherwise(parts)
+    return parts
+
+
 def section_numbers_in(text: Column) -> Column:
-    """All canonical section numbers in prose, in order."""
-    return F.regexp_extract_all(text, F.lit(r"\b([0-9]{2} [0-9]{2} [0-9]{2}(?:\.[0-9]{2}(?: [0-9]{2})?)?)\b"), F.lit(1))
+    """All section numbers in prose, in order and in canonical form."""
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), canonical_section)

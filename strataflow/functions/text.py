@@ -117,12 +117,12 @@ def stem(token: Column) -> Column:
     cut = lambda n: F.substr(token, F.lit(1), F.length(token) - n)
     size = F.length(token)
     return (
-        F.when(token.endswith("ing") & (size >= 6), undouble(cut(3)))
-        .when(token.endswith("ied") & (size >= 5), F.concat(cut(3), F.lit("y")))
-        .when(token.endswith("ed") & (size >= 5), undouble(cut(2)))
-        .when(token.endswith("ies") & (size >= 5), F.concat(cut(3), F.lit("y")))
-        .when(token.endswith("es") & (size >= 4), cut(2))
-        .when(token.endswith("s") & (size >= 4), cut(1))
+        F.when(token.endswith("ing") & (size > 6), undouble(cut(3)))
+        .when(token.endswith("ied") & (size > 5), F.concat(cut(3), F.lit("y")))
+        .when(token.endswith("ed") & (size > 5), undouble(cut(2)))
+        .when(token.endswith("ies") & (size > 5), F.concat(cut(3), F.lit("y")))
+        .when(token.endswith("es") & (size > 4), cut(2))
+        .when(token.endswith("s") & (size > 4), cut(1))
         .otherwise(token)
     )
 

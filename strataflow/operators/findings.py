@@ -7,10 +7,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strataflow.functions import text as T
 
 # Words of titles that name no subject.
-STOP_WORDS = (
-    "and are basic common communications concrete conveying division documents earthwork electrical electronic equipment execution exterior finishes general hvac improvements masonry materials metals moisture "
-    "openings part plumbing process product products project related requirement requirements safety section sections specialties specification specifications summary system systems the thermal transportation utilities waterway"
-).split()
+STOP_WORDS = [
+    "and",
+    "are",
+    "basic",
+    "common",
+    "communications",
+    "concrete",
+    "conveying",
+    "division",
+    "documents",
+    "earthwork",
+    "electrical",
+    "electronic",
+    "equipment",
+    "execution",
+    "exterior",
+    "finishes",
+    "general",
+    "hvac",
+    "improvements",
+    "masonry",
+    "materials",
+    "metals",
+    "moisture",
+    "openings",
+    "part",
+    "plumbing",
+    "process",
+    "product",
+    "products",
+    "project",
+    "related",
+    "requirement",
+    "requirements",
+    "safety",
+    "section",
+    "sections",
+    "specialties",
+    "specification",
+    "specifications",
+    "summary",
+    "system",
+    "systems",
+    "the",
+    "thermal",
+    "transportation",
+    "utilities",
+    "waterway",
+    "wood",
+    "work",
+]
 
 
 def keywords(text: Column) -> Column:

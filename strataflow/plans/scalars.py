@@ -37,23 +37,29 @@ def section_styles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "specs").select("section").distinct().select("section", *[S.format_section(F.col("section"), v).alias(k) for k, v in styles.items()])
 
 
-@query("section_mentions", r"""SELECT doc_id, section, count(*) AS n_mentions FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([0-9]{2} [0-9]{2} [0-9]{2}(?:\.[0-9]{2}(?: [0-9]{2})?)?)\b', 1)) AS section FROM documents) GROUP BY ALL""")
+@query("section_mentions", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[0-9]{3,}', '#', 'g'), '(?:^|[^0-9.])([0-9]{2}\s+[0-9]{2}\s+[0-9]{2}(?:\.[0-9]{2}(?:[ \t]+[0-9]{2}\b)?)?)', 1)) AS raw FROM documents),
+d AS (SELECT doc_id, regexp_replace(raw, '[\s.]', '', 'g') AS d FROM t) SELECT doc_id, substr(d, 1, 2) || ' ' || substr(d, 3, 2) || ' ' || substr(d, 5, 2) || CASE WHEN length(d) > 6 THEN '.' || substr(d, 7, 2) ELSE '' END || CASE WHEN length(d) > 8 THEN ' ' || substr(d, 9, 2) ELSE '' END AS section, count(*) AS n_mentions FROM d GROUP BY ALL""")
 def section_mentions(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents").select("doc_id", F.explode(S.section_numbers_in(F.col("text"))).alias("section"))
     return found.groupBy("doc_id", "section").agg(F.count("*").alias("n_mentions"))
 
 
-@query("text_section_meta", f"""WITH l AS ({_LINES}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM l WHERE trim(line) <> ''),
-h AS (SELECT doc_id, arg_min(regexp_extract(trim(line), '^SECTION ([0-9]{{2}} [0-9]{{2}} [0-9]{{2}}([.][0-9]{{2}}( [0-9]{{2}})?)?)', 1), n) AS section, min(n) AS n FROM k WHERE n <= 10 AND regexp_matches(trim(line), '^SECTION [0-9]{{2}} [0-9]{{2}} [0-9]{{2}}') GROUP BY doc_id)
-SELECT h.doc_id, h.section, k.line AS title FROM h LEFT JOIN k ON k.doc_id = h.doc_id AND k.n = h.n + 1""")
+_DASH = "(?:\\s*[-–—]\\s*(.+))?"
+_STRONG = "((?:[0-9]{2}\\s+[0-9]{2}\\s+[0-9]{2}|[0-9]{2}\\s+[0-9]{4}|[0-9]{2}[.][0-9]{2}[.][0-9]{2}|[0-9]{6})(?:[.][0-9]{2}(?:[ \\t]+[0-9]{2})?)?)"
+
+
+@query("text_section_meta", f"""WITH l AS ({_LINES}), k AS (SELECT doc_id, trim(line) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM l WHERE trim(line) <> ''),
+m AS (SELECT doc_id, n, CASE WHEN regexp_matches(t, 'SECTION\\s+{_STRONG}([^0-9]|$)', 'i') THEN regexp_extract(t, 'SECTION\\s+{_STRONG}', 1, 'i') ELSE regexp_extract(t, '^([0-9]{{2}}\\s+[0-9]{{2}}\\s+[0-9]{{2}}(?:[.][0-9]{{2}}(?:[ \\t]+[0-9]{{2}})?)?)', 1) END AS raw,
+ CASE WHEN regexp_matches(t, 'SECTION\\s+{_STRONG}([^0-9]|$)', 'i') THEN regexp_extract(t, 'SECTION\\s+{_STRONG}{_DASH}', 2, 'i') ELSE regexp_extract(t, '^([0-9]{{2}}\\s+[0-9]{{2}}\\s+[0-9]{{2}}(?:[.][0-9]{{2}}(?:[ \\t]+[0-9]{{2}})?)?){_DASH}', 2) END AS title FROM k WHERE n <= 10 AND (regexp_matches(t, 'SECTION\\s+{_STRONG}([^0-9]|$)', 'i') OR regexp_matches(t, '^[0-9]{{2}}\\s+[0-9]{{2}}\\s+[0-9]{{2}}([^0-9]|$)'))),
+f AS (SELECT doc_id, arg_min(regexp_replace(raw, '[\\s.]', '', 'g'), n) AS d, arg_min(title, n) AS title FROM m GROUP BY doc_id)
+SELECT doc_id, substr(d, 1, 2) || ' ' || substr(d, 3, 2) || ' ' || substr(d, 5, 2) || CASE WHEN length(d) > 6 THEN '.' || substr(d, 7, 2) ELSE '' END || CASE WHEN length(d) > 8 THEN ' ' || substr(d, 9, 2) ELSE '' END AS section, CASE WHEN trim(title) = '' THEN 'unknown' ELSE trim(title) END AS title FROM f""")
 def text_section_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """The first SECTION line among a text's first ten lines that aren't blank, with the line after it; one row, no shuffle."""
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 11)
-    head = r"^SECTION ([0-9]{2} [0-9]{2} [0-9]{2}(\.[0-9]{2}( [0-9]{2})?)?)"
-    texts = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines"))
-    at = F.array_position(F.transform(F.slice("lines", 1, 10), lambda x: F.trim(x).rlike(head)), True)
-    found = texts.withColumn("at", at.cast("int")).where("at > 0")
-    return found.select("doc_id", F.regexp_extract(F.trim(F.get("lines", F.col("at") - 1)), head, 1).alias("section"), F.get("lines", F.col("at")).alias("title"))
+    """Section and title of each text: the first of its first ten lines that aren't blank which is a section heading (SECTION and a number in any spelling, or a number at the
+    line's begin); the title follows the dash on the same line, else it is unknown. One row, no shuffle."""
+    lines = F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 10), lambda x: F.trim(x))
+    texts = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.transform(lines, S.section_heading).alias("found"))
+    first = texts.select("doc_id", F.get(F.filter("found", lambda x: x.isNotNull()), F.lit(0)).alias("m")).where("m IS NOT NULL")
+    return first.select("doc_id", "m.section", "m.title")
 
 
 @query("line_classes", f"""WITH l AS ({_LINES}) SELECT kind, level, count(*) AS n_lines, sum(length(body)) AS n_chars FROM (SELECT
@@ -103,9 +109,9 @@ def snippets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("paragraph_id", T.snippet(F.col("text"), "membrane").alias("snippet"))
 
 
-_STEM = """CASE WHEN t LIKE '%ing' AND length(t) >= 6 THEN regexp_replace(substr(t, 1, length(t) - 3), '(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|yy|zz|00|11|22|33|44|55|66|77|88|99)$', '#')
-WHEN t LIKE '%ied' AND length(t) >= 5 THEN substr(t, 1, length(t) - 3) || 'y' WHEN t LIKE '%ed' AND length(t) >= 5 THEN regexp_replace(substr(t, 1, length(t) - 2), '(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|yy|zz|00|11|22|33|44|55|66|77|88|99)$', '#')
-WHEN t LIKE '%ies' AND length(t) >= 5 THEN substr(t, 1, length(t) - 3) || 'y' WHEN t LIKE '%es' AND length(t) >= 4 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%s' AND length(t) >= 4 THEN substr(t, 1, length(t) - 1) ELSE t END"""
+_STEM = """CASE WHEN t LIKE '%ing' AND length(t) > 6 THEN regexp_replace(substr(t, 1, length(t) - 3), '(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|yy|zz|00|11|22|33|44|55|66|77|88|99)$', '#')
+WHEN t LIKE '%ied' AND length(t) > 5 THEN substr(t, 1, length(t) - 3) || 'y' WHEN t LIKE '%ed' AND length(t) > 5 THEN regexp_replace(substr(t, 1, length(t) - 2), '(bb|cc|dd|ff|gg|hh|jj|kk|ll|mm|nn|pp|qq|rr|ss|tt|vv|ww|xx|yy|zz|00|11|22|33|44|55|66|77|88|99)$', '#')
+WHEN t LIKE '%ies' AND length(t) > 5 THEN substr(t, 1, length(t) - 3) || 'y' WHEN t LIKE '%es' AND length(t) > 4 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%s' AND length(t) > 4 THEN substr(t, 1, length(t) - 1) ELSE t END"""
 STEM_SQL = f"(CASE WHEN {_STEM} LIKE '%#' THEN CASE WHEN t LIKE '%ing' THEN substr(t, 1, length(t) - 4) ELSE substr(t, 1, length(t) - 3) END ELSE {_STEM} END)"
 
 
