@@ -44,9 +44,11 @@ def format_section(canonical: Column, style: str) -> Column:
 
 
 # A number in prose, and one where a section is meant: not inside longer numbers, the agency's suffix on the same line.
-_SUFFIX = r"(?:\.\d{2}(?!\d)(?:[^\S\r\n]+\d{2}(?!\d))?)?"
-NUMBER = rf"(?<![\d.])(\d{{2}}\s+\d{{2}}\s+\d{{2}}{_SUFFIX})(?!\d)"
-CANDIDATE = rf"(?<![\d.])((?:\d{{2}}\s+\d{{2}}\s+\d{{2}}|\d{{2}}\s+\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{2}}|\d{{6}}){_SUFFIX})(?!\d)(?!\.\d)"
+_BLANK = f"[\\s{WIDE_SPACES}]"
+_SAME_LINE = f"[ \\t{WIDE_SPACES}]"
+_SUFFIX = rf"(?:\.\d{{2}}(?!\d)(?:{_SAME_LINE}+\d{{2}}(?!\d))?)?"
+NUMBER = rf"(?<![\d.])(\d{{2}}{_BLANK}+\d{{2}}{_BLANK}+\d{{2}}{_SUFFIX})(?!\d)"
+CANDIDATE = rf"(?<![\d.])((?:\d{{2}}{_BLANK}+\d{{2}}{_BLANK}+\d{{2}}|\d{{2}}{_BLANK}+\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{2}}|\d{{6}}){_SUFFIX})(?!\d)(?!\.\d)"
 _TITLE = r"(?:\s*[-–—]\s*(.+))?"
 
 

@@ -199,8 +199,8 @@ def restored_texts(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("spec_id", "uuid", F.col("l.snapshot_no").alias("version"), F.md5("l.v.text").alias("text_hash"))
 
 
-@query("extracted_refs", """WITH p AS (SELECT DISTINCT lower(paragraph_id) AS id, text FROM paragraphs WHERE text IS NOT NULL), m AS (SELECT id, unnest(regexp_extract_all(regexp_replace(text, '[0-9]{3,}', '#', 'g'), '(?:^|[^0-9.])([0-9]{2}\\s+[0-9]{2}\\s+[0-9]{2}(?:\\.[0-9]{2}(?:[ \\t]+[0-9]{2}\\b)?)?)', 1)) AS raw FROM p),
-d AS (SELECT id, regexp_replace(raw, '[\\s.]', '', 'g') AS d FROM m) SELECT id AS paragraph_id, substr(d, 1, 2) || ' ' || substr(d, 3, 2) || ' ' || substr(d, 5, 2) || CASE WHEN length(d) > 6 THEN '.' || substr(d, 7, 2) ELSE '' END || CASE WHEN length(d) > 8 THEN ' ' || substr(d, 9, 2) ELSE '' END AS section, count(*) AS n_mentions FROM d GROUP BY ALL""")
+@query("extracted_refs", """WITH p AS (SELECT DISTINCT lower(paragraph_id) AS id, text FROM paragraphs WHERE text IS NOT NULL), m AS (SELECT id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '[\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]', ' ', 'g'), '[0-9]{3,}', '#', 'g'), '(?:^|[^0-9.])([0-9]{2}[\\s\\x{00a0}]+[0-9]{2}[\\s\\x{00a0}]+[0-9]{2}(?:\\.[0-9]{2}(?:[ \\t\\x{00a0}]+[0-9]{2}\\b)?)?)', 1)) AS raw FROM p),
+d AS (SELECT id, regexp_replace(raw, '[\\s.\\x{00a0}]', '', 'g') AS d FROM m) SELECT id AS paragraph_id, substr(d, 1, 2) || ' ' || substr(d, 3, 2) || ' ' || substr(d, 5, 2) || CASE WHEN length(d) > 6 THEN '.' || substr(d, 7, 2) ELSE '' END || CASE WHEN length(d) > 8 THEN ' ' || substr(d, 9, 2) ELSE '' END AS section, count(*) AS n_mentions FROM d GROUP BY ALL""")
 def extracted_refs(spark: SparkSession, folder: str) -> DataFrame:
     """Section references that the texts of paragraphs hold."""
     texts = table(spark, folder, "paragraphs").where("text IS NOT NULL").select(F.lower("paragraph_id").alias("paragraph_id"), "text").distinct()

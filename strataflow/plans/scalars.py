@@ -37,8 +37,8 @@ def section_styles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "specs").select("section").distinct().select("section", *[S.format_section(F.col("section"), v).alias(k) for k, v in styles.items()])
 
 
-@query("section_mentions", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[0-9]{3,}', '#', 'g'), '(?:^|[^0-9.])([0-9]{2}\s+[0-9]{2}\s+[0-9]{2}(?:\.[0-9]{2}(?:[ \t]+[0-9]{2}\b)?)?)', 1)) AS raw FROM documents),
-d AS (SELECT doc_id, regexp_replace(raw, '[\s.]', '', 'g') AS d FROM t) SELECT doc_id, substr(d, 1, 2) || ' ' || substr(d, 3, 2) || ' ' || substr(d, 5, 2) || CASE WHEN length(d) > 6 THEN '.' || substr(d, 7, 2) ELSE '' END || CASE WHEN length(d) > 8 THEN ' ' || substr(d, 9, 2) ELSE '' END AS section, count(*) AS n_mentions FROM d GROUP BY ALL""")
+@query("section_mentions", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '[\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]', ' ', 'g'), '[0-9]{3,}', '#', 'g'), '(?:^|[^0-9.])([0-9]{2}[\s\x{00a0}]+[0-9]{2}[\s\x{00a0}]+[0-9]{2}(?:\.[0-9]{2}(?:[ \t\x{00a0}]+[0-9]{2}\b)?)?)', 1)) AS raw FROM documents),
+d AS (SELECT doc_id, regexp_replace(raw, '[\s.\x{00a0}]', '', 'g') AS d FROM t) SELECT doc_id, substr(d, 1, 2) || ' ' || substr(d, 3, 2) || ' ' || substr(d, 5, 2) || CASE WHEN length(d) > 6 THEN '.' || substr(d, 7, 2) ELSE '' END || CASE WHEN length(d) > 8 THEN ' ' || substr(d, 9, 2) ELSE '' END AS section, count(*) AS n_mentions FROM d GROUP BY ALL""")
 def section_mentions(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents").select("doc_id", F.explode(S.section_numbers_in(F.col("text"))).alias("section"))
     return found.groupBy("doc_id", "section").agg(F.count("*").alias("n_mentions"))
