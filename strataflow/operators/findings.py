@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataflow.functions import text as T
+from strataflow.storage import stage
 
 # Words of titles that name no subject.
 STOP_WORDS = [
@@ -81,8 +82,9 @@ def implied_sections(paragraphs: DataFrame, titles: DataFrame, known: DataFrame)
     section by two of its keywords, or by its only one. Of a spec's paragraphs that imply the same section the smallest id is named. Words meet keywords in
     an equi-join; no paragraph is compared with the whole catalogue.
     """
-    words = paragraphs.select("spec_id", F.col("section").alias("own"), "paragraph_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("_word")).where((F.length("_word") >= 4) & ~F.col("_word").isin(STOP_WORDS))
-    words = words.withColumn("keyword", T.stem(F.col("_word"))).drop("_word")
+    titles = stage(titles, "keywords")  # of exact size, so that a catalogue of any usual size is broadcast and no word is shuffled
+    kept = F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+")), lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
+    words = paragraphs.select("spec_id", F.col("section").alias("own"), "paragraph_id", F.explode(F.array_distinct(F.transform(kept, lambda w: T.stem(w)))).alias("keyword"))
     hits = words.join(titles, "keyword").where(F.col("own") != F.col("section")).distinct()
     matched = hits.groupBy("spec_id", "paragraph_id", "section").agg(F.count("*").alias("n"), F.min("keyword").alias("matched_keyword"), F.first("n_keywords").alias("n_keywords"))
     matched = matched.where(F.col("n") >= F.least(F.lit(2), F.col("n_keywords"))).join(known, ["spec_id", "section"], "left_anti")

@@ -11,13 +11,17 @@ from strataflow.operators.comparison import hierarchy_confidence
 CONTRADICTS = 3
 
 
-def note_roles(rows: DataFrame, key: str, order: str, text: str, heading: Column, structural: Column) -> DataFrame:
-    """The rows with ``role``: rule, note or none. Rows of asterisks open and close regions of notes and headings close them.
+def asterisks(text: Column) -> Column:
+    return F.trim(text).rlike(r"^\*{5,}$")
+
+
+def note_roles(rows: DataFrame, key: str, order: str, rule: Column, heading: Column, structural: Column) -> DataFrame:
+    """The rows with ``role``: rule, note or none. Rules (usually rows of asterisks) open and close regions of notes and headings close them.
 
     A numbered row inside a region proves that the pairs have drifted; then the whole document has no regions (its rules become none as well). Two
     windows over a document, no collected groups.
     """
-    rule = F.coalesce(F.trim(text).rlike(r"^\*{5,}$"), F.lit(False))
+    rule = F.coalesce(rule, F.lit(False))
     heading = F.coalesce(heading, F.lit(False))
     upto = Window.partitionBy(key).orderBy(order)
     rows = rows.withColumn("_rule", rule).withColumn("_heading", heading & ~F.col("_rule")).withColumn("_stretch", F.sum(F.col("_heading").cast("int")).over(upto))
@@ -48,7 +52,7 @@ def inferred(facts: DataFrame) -> DataFrame:
     two = F.when(~off, _level(F.col("style_ilvl"), article))
     five = F.when(~F.coalesce(F.col("jc").isin("center", "right", "end"), F.lit(False)), L.indent_signal(F.col("left_indent")))
     rows = body.select("source_id", "no", "text", "vanish", "note_style", one.alias("s1"), two.alias("s2"), L.text_signal(text).alias("s4"), five.alias("s5"), (F.coalesce(F.col("num_id") > 0, F.lit(False)) | two.isNotNull()).alias("_structural"))
-    rows = note_roles(rows, "source_id", "no", "text", F.col("s4") <= 1, F.col("_structural"))
+    rows = note_roles(rows, "source_id", "no", asterisks(F.col("text")), F.col("s4") <= 1, F.col("_structural"))
     note = (F.col("role") == "note") | F.coalesce("note_style", F.lit(False)) | L.opens_note(text) | L.reveals_notes(text)
     out = note | F.coalesce("vanish", F.lit(False)) | (F.col("role") == "rule") | L.separates(text)
     names = ("s1", "s2", "s4", "s5")

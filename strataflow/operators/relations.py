@@ -28,10 +28,16 @@ def clean_references(references: DataFrame) -> DataFrame:
 
 
 def sections_in_use(catalogue: DataFrame, specs: DataFrame) -> DataFrame:
-    """Every section with each spec of it (null where there is none) and whether there is one; specs of one section multiply it."""
-    used = specs.select("section", "spec_id", "owner")
-    rows = catalogue.join(used, catalogue["section_number"] == used["section"], "left")
-    return rows.select("section_number", catalogue["title"], "division", "spec_id", F.col("spec_id").isNotNull().alias("in_database"))
+    """Every section with each spec of it (null where there is none) and whether there is one; specs of one section multiply it.
+
+    Sections with specs come from an inner join, whose hot sections adaptive execution can split on the specs' side (in an outer join it could not), the others from an anti join.
+    """
+    sections = catalogue.select("section_number", "title", "division")
+    used = specs.select(F.col("section").alias("section_number"), "spec_id").where("section_number IS NOT NULL")
+    columns = ["section_number", "title", "division", "spec_id"]
+    held = used.join(sections, "section_number").select(*columns, F.lit(True).alias("in_database"))
+    free = sections.join(used, "section_number", "left_anti").select("section_number", "title", "division", F.lit(None).cast("string").alias("spec_id"), F.lit(False).alias("in_database"))
+    return held.unionByName(free)
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

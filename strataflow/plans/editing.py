@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from strataflow.functions import lines as L
+from strataflow.operators import inference as I
 from strataflow.plans.registry import query
 from strataflow.plans.relations import CTE as SPECS, specs
 from strataflow.plans.scalars import _LINES, _lines
@@ -38,13 +40,16 @@ def choice_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(~F.col("token").rlike(r"(?i)^section [0-9]{2} [0-9]{2} [0-9]{2}")).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("token").alias("n_options"))
 
 
-@query("note_regions", f"""WITH l AS ({_LINES}), r AS (SELECT *, regexp_matches(trim(line), '^[A-Z][A-Z ,-]{{7,}}$') AS rule FROM l), s AS (SELECT *, sum(rule::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM r)
-SELECT doc_id, count(*) FILTER (rule) AS n_rules, count(*) FILTER (NOT rule AND n % 2 = 1) AS n_inside FROM s GROUP BY doc_id HAVING count(*) FILTER (rule) > 0""")
+@query("note_regions", f"""WITH l AS ({_LINES}), r AS (SELECT *, regexp_matches(trim(line), '^[A-Z][A-Z ,-]{{7,}}$') AS rule, coalesce(length(trim(line)) >= 4 AND regexp_matches(trim(line), '^([0-9]+([.][0-9]+){{0,8}}[.]?|[A-Z][.]|[a-z][.)]|[0-9]+[)])\\s') AND regexp_matches(trim(line), '^([0-9]+([.][0-9]+){{1,8}}\\s+|[A-Z][.]\\s|[0-9]+[.]\\s|[a-z][.]\\s|[0-9]+[)]\\s|[a-z][)]\\s)'), FALSE) AS typed FROM l),
+s AS (SELECT *, sum(rule::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AND NOT rule AS inside FROM r), d AS (SELECT *, bool_or(inside AND typed) OVER (PARTITION BY doc_id) AS drifted FROM s)
+SELECT doc_id, count(*) FILTER (rule AND NOT drifted) AS n_rules, count(*) FILTER (inside AND NOT drifted) AS n_inside, bool_or(drifted) AS drifted FROM d GROUP BY doc_id HAVING count(*) FILTER (rule) > 0""")
 def note_regions(spark: SparkSession, folder: str) -> DataFrame:
-    """Rule rows (lines of capitals) toggle regions: lines after an odd number of rules are inside."""
-    lines = _lines(spark, folder).withColumn("rule", F.trim("line").rlike(r"^[A-Z][A-Z ,-]{7,}$"))
-    lines = lines.withColumn("n", F.sum(F.col("rule").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no")))
-    return lines.groupBy("doc_id").agg(F.count_if("rule").alias("n_rules"), F.count_if(~F.col("rule") & (F.col("n") % 2 == 1)).alias("n_inside")).where("n_rules > 0")
+    """Regions between lines of capitals, which stand here for the rows of asterisks that the texts lack; a typed label inside one proves that the pairs have drifted."""
+    rule = F.trim("line").rlike(r"^[A-Z][A-Z ,-]{7,}$")
+    lines = _lines(spark, folder).withColumn("_is_rule", rule)
+    roles = I.note_roles(lines, "doc_id", "line_no", F.col("_is_rule"), F.lit(False), L.text_signal(F.col("line")) >= 1)
+    counted = roles.groupBy("doc_id").agg(F.count_if(F.col("role") == "rule").alias("n_rules"), F.count_if(F.col("role") == "note").alias("n_inside"), F.count_if("_is_rule").alias("_n")).where("_n > 0")
+    return counted.select("doc_id", "n_rules", "n_inside", (F.col("n_rules") == 0).alias("drifted"))
 
 
 @query("editability", """WITH p AS (SELECT DISTINCT paragraph_id, node_type, text, comments FROM paragraphs), c AS (SELECT paragraph_id, CASE WHEN node_type = 'note' THEN 'note' WHEN len([x for x in comments if NOT coalesce(x.closed, FALSE)]) > 0 THEN 'comment' WHEN regexp_matches(text, '[\\[<][^\\[\\]<>]+[\\]>]') THEN 'choice' ELSE 'default' END AS rung FROM p)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strataflow.operators import tree as O
 from strataflow.operators.hierarchy import Carried
 from strataflow.plans import trees
-from strataflow.plans.registry import query
+from strataflow.plans.registry import SQL, query
 from strataflow.sources import documents as D
 from strataflow.sources.tables import table
 from strataflow.streaming import sessions as S
@@ -80,3 +80,20 @@ def stream_pending(spark: SparkSession, folder: str) -> DataFrame:
     batch = table(spark, folder, "events")
     log = S.change_stream(spark, f"{folder}/events.parque[t]", batch.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     return S.run_available(S.pending_counts(log, "user_id", "event_type", "ts"), "pending", "complete")
+
+
+@query("stream_sessions_closed", SQL["stream_sessions"].replace("GROUP BY user_id, n", "GROUP BY user_id, n HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)"))
+def stream_sessions_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions in append mode: those that the watermark has closed, each given once and its state dropped."""
+    batch = table(spark, folder, "events")
+    log = S.change_stream(spark, f"{folder}/events.parque[t]", batch.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = S.run_available(S.session_windows(log, "user_id", "ts"), "sessions-closed", "append")
+    return found.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "n_rows")
+
+
+@query("stream_pending_closed", "SELECT * FROM (SELECT user_id, event_type, ts::DATE AS day, count(*) AS n_rows FROM events GROUP BY ALL) WHERE epoch_us(day::TIMESTAMP) + 86400000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)")
+def stream_pending_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts in append mode: days that the watermark has passed."""
+    batch = table(spark, folder, "events")
+    log = S.change_stream(spark, f"{folder}/events.parque[t]", batch.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.run_available(S.pending_counts(log, "user_id", "event_type", "ts"), "pending-closed", "append")

@@ -80,7 +80,7 @@ def test_inference(spark):
 def test_note_regions_that_drift(spark):
     lines = [("a", 0, "*****", None), ("a", 1, "note", None), ("a", 2, "PART 1", None), ("a", 3, "after", None), ("b", 0, "*****", None), ("b", 1, "numbered", True), ("c", 0, "*****", None), ("c", 1, "x", None), ("c", 2, "******", None), ("c", 3, "y", True), ("d", 0, None, None)]
     rows = frame(spark, lines, "k string, n int, t string, s boolean")
-    found = {(r["k"], r["n"]): r["role"] for r in I.note_roles(rows, "k", "n", "t", F.col("t").rlike("^PART"), F.col("s")).collect()}
+    found = {(r["k"], r["n"]): r["role"] for r in I.note_roles(rows, "k", "n", I.asterisks(F.col("t")), F.col("t").rlike("^PART"), F.col("s")).collect()}
     assert [found["a", n] for n in range(4)] == ["rule", "note", "none", "none"] and [found["b", n] for n in range(2)] == ["none", "none"]
     assert [found["c", n] for n in range(4)] == ["rule", "note", "rule", "none"] and found["d", 0] == "none"
 
