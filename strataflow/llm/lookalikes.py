@@ -114,14 +114,20 @@ def _latin_words(points: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.n
     return inside & latin[word] if len(word) else inside
 
 
-def _joiners(kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Invisible characters with a use: they join pictures, or letters of scripts that need them."""
-    left, right = np.zeros_like(kind), np.zeros_like(kind)
+def _joiners(points: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Invisible characters with a use: the joiner between two pictures, a variation selector after one, and joiners between letters of scripts that need them."""
+    selector = (points >= 0xFE00) & (points <= 0xFE0F)
+    left, right, second = np.zeros_like(kind), np.zeros_like(kind), np.zeros_like(kind)
     same = rows[1:] == rows[:-1]
     left[1:][same], right[:-1][same] = kind[:-1][same], kind[1:][same]
-    invisible = (kind & INVISIBLE) != 0
-    picture = (left & PICTURE != 0) | (right & PICTURE != 0)
-    return invisible & (picture | ((left & JOINING != 0) & (right & JOINING != 0)))
+    far = rows[2:] == rows[:-2]
+    second[2:][far] = kind[:-2][far]
+    after_selector = np.zeros(len(points), bool)
+    after_selector[1:] = selector[:-1] & same
+    before = np.where(after_selector, second, left)  # a picture may have its selector between
+    pictures = (points == 0x200D) & (before & PICTURE != 0) & (right & PICTURE != 0)
+    letters = ((points == 0x200C) | (points == 0x200D)) & (left & JOINING != 0) & (right & JOINING != 0)
+    return pictures | (selector & (left & PICTURE != 0)) | letters
 
 
 def suspicious(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,7 +138,7 @@ def suspicious(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     rows = row_of(offsets)
     marks = (kind & (WIDE | SPACE | HYPHEN)) != 0
-    marks |= ((kind & INVISIBLE) != 0) & ~_joiners(kind, rows)
+    marks |= ((kind & INVISIBLE) != 0) & ~_joiners(points, kind, rows)
     after_letter = np.zeros(len(points), bool)
     after_letter[1:] = ((kind[:-1] & (LETTER | MARK | INVISIBLE)) != 0) & (rows[1:] == rows[:-1])
     marks |= ((kind & MARK) != 0) & after_letter
@@ -145,7 +151,7 @@ def unify(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rows = row_of(offsets)
     kind = t["kind"][points]
     twins = ((kind & TWIN) != 0) & _latin_words(points, kind, rows)
-    keep = ((kind & INVISIBLE) == 0) | _joiners(kind, rows)
+    keep = ((kind & INVISIBLE) == 0) | _joiners(points, kind, rows)
     points = np.where(twins, t["twin"][points], t["plain"][points])[keep]
     rows = rows[keep]
     length = t["length"][points]

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-#: Folder of the vocabulary files; the same on all machines.
+#: Folder of the vocabulary files on the driver, which hands the file to the executors; where it has none, the executors' own folder is read.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenisation pattern of this vocabulary.
@@ -101,12 +103,27 @@ def encoder(folder: str) -> Encoder:
     return Encoder(folder)
 
 
+def handed_out(table: DataFrame, folder: str) -> None:
+    """Adds the vocabulary to the files that executors fetch from the driver."""
+    path = f"{folder}/{VOCABULARY}"
+    context = table.sparkSession.sparkContext
+    if os.path.exists(path) and VOCABULARY not in {os.path.basename(f) for f in context.listFiles}:
+        context.addFile(path)
+
+
+def local_encoder(folder: str) -> Encoder:
+    """On a worker: the encoder from the file that was handed out, else from the folder."""
+    fetched = SparkFiles.get(VOCABULARY)
+    return encoder(os.path.dirname(fetched) if os.path.exists(fetched) else folder)
+
+
 def encode_column(table: DataFrame, key: str, text: str, folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids): the ids of each row's text, without special tokens. Null and empty texts have the empty list."""
+    handed_out(table, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, offsets = encoder(folder).encode(batch.column(1))
+            ids, offsets = local_encoder(folder).encode(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
@@ -116,10 +133,11 @@ def encode_column(table: DataFrame, key: str, text: str, folder: str = TOKENIZER
 
 def token_counts(table: DataFrame, key: str, text: str, folder: str = TOKENIZERS) -> DataFrame:
     """(key, n_tokens): the number of each row's ids; 0 for null and empty texts. The ids never leave the worker."""
+    handed_out(table, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = encoder(folder).encode(batch.column(1))
+            _, offsets = local_encoder(folder).encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32))], names=[key, "n_tokens"])
 
     kind = dict(table.dtypes)[key]

@@ -33,8 +33,8 @@ def test_one_form_composes_as_unicode_does():
     assert codepoints.from_codepoints(points, offsets).to_pylist() == [unicodedata.normalize("NFC", t.replace("ﬁ", "fi")) for t in texts]
 
 
-CASES = {"ｔｒｉｍ": "trim", "ampliﬁer": "amplifier", "préfab": "préfab", "RTU\xa0and": "RTU and", "HX‑9066": "HX-9066", "fo﻿r": "for", "рrіmеd": "primed", "νermiculite": "vermiculite", "a​b": "ab"}
-CLEAN = ["kΩ", "Δp 16 µm", "Стальмет", "Θερμός", "naïve façade", "½ – “x”", "👷‍♀️", "plain", "鋼材"]
+CASES = {"ｔｒｉｍ": "trim", "ampliﬁer": "amplifier", "préfab": "préfab", "RTU\xa0and": "RTU and", "HX‑9066": "HX-9066", "fo﻿r": "for", "рrіmеd": "primed", "νermiculite": "vermiculite", "a​b": "ab", "✔​ done": "✔ done", "​✔": "✔"}
+CLEAN = ["kΩ", "Δp 16 µm", "Стальмет", "Θερμός", "naïve façade", "½ – “x”", "👷‍♀️", "plain", "鋼材", "❤️‍🔥"]
 
 
 def test_lookalikes(spark):
@@ -351,3 +351,11 @@ def test_one_page_scans():
     document.find_furniture({})
     noise = {(k, kind) for _, k, kind, _ in scans.find_noise(document, scans.Vocabulary(counts))}
     assert noise == {(0, "hyphen"), (1, "hyphen"), (1, "misread")}
+
+
+def test_containers_are_nearly_full(spark):
+    pick = np.random.default_rng(11)
+    sizes = np.minimum(pick.lognormal(5, 1, 6000).astype(int) + 1, 2048).tolist()
+    packed = packing.pack(frame(spark, list(enumerate(sizes)), "doc_id long, n int"), "doc_id", "n", len(sizes), group=3000)
+    report = packing.fill_report(packed).first()
+    assert report["n_items"] == len(sizes) and report["n_tokens"] == sum(sizes) and report["fill_rate"] > 0.99
