@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strataflow.storage import stage
 
-# What a scanner reads for what stands there.
+# What scanners commonly read for what stands there. What else this corpus' scanners confuse is learned from its words (see ``confusions``).
 CONFUSED = (
     ("c", "e"), ("f", "t"), ("0", "o"), ("1", "l"), ("1", "i"), ("l", "i"), ("cl", "d"), ("!", "i"), ("!", "l"), ("ri", "n"), ("5", "s"), ("(", "c"), ("b", "h"), ("ii", "u"), ("ii", "n"), ("£", "f"),
     ("6", "b"), ("rn", "m"), ("vv", "w"), ("9", "g"), ("h", "li"), ("m", "rn"), ("d", "cl"), ("8", "b"), ("|", "l"), ("e", "c"), ("n", "ri"), ("$", "s"), ("@", "a"),
@@ -49,6 +49,10 @@ TOKEN_ENDS = ".,;:?“”\"'’[]{}"
 DEPTH, SHARE, WORD_SHARE = 3, 1e-4, 1e-6
 #: Lines at an edge that are compared without an index of their pieces.
 FEW = 40
+#: Learned confusions: words from how many occurrences on are taken as right, and how many words must show a confusion: so many, and that share of what the commonest one has.
+RIGHT, SHOWN, SHOWN_SHARE = 20, 3, 0.05
+#: A word with signs or digits of the kind that letters are misread as.
+MIXED = re.compile(r"[a-z]*[0-9!$@|(£][a-z]{2,}[a-z0-9!$@|(£]*|[a-z]{2,}[0-9!$@|(£]+[a-z]*")
 #: A misread word's correction is so many times as common as the word, and occurs at least so often.
 TIMES, LEAST = 8, 3
 
@@ -262,9 +266,9 @@ class Lookups:
 
 
 class Vocabulary:
-    def __init__(self, counts: dict[str, int] | Lookups, top: int | None = None) -> None:
+    def __init__(self, counts: dict[str, int] | Lookups, top: int | None = None, confused: tuple[tuple[str, str], ...] = CONFUSED) -> None:
         """top: the count of the commonest word, where counts can't be gone through."""
-        self.counts = counts
+        self.counts, self.confused = counts, confused
         if top is not None:
             self.top = top
         self.store: dict[str, str | None] = {}
@@ -283,7 +287,7 @@ class Vocabulary:
             return None
         own, plain = self.counts.get(word, 0), word.isalpha()
         best, most = None, (max(LEAST, TIMES * own) if plain else max(1, TIMES * own)) - 1
-        for seen, true in CONFUSED:
+        for seen, true in self.confused:
             if seen not in word:
                 continue
             options = {word.replace(seen, true)}
@@ -434,8 +438,28 @@ def document_of(pages: list[dict] | None) -> Document:
     return Document([(n, (t or "").split("\n")) for n, t in sorted(rows, key=lambda r: r[0])])
 
 
-def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool], int, bool], DataFrame]:
-    """((common words with their counts, common lines with whether they are furniture, the highest count, whether these are all), table of all).
+def confusions(words: DataFrame) -> list[tuple[str, str]]:
+    """(seen, true) pieces of one or two characters that this corpus' scanners confuse, from (what, n) of its words.
+
+    A rare word that differs from one at least TIMES as common in one piece only shows the confusion of that piece. Words meet by what is left of them
+    without the piece, in an equi-join, and only counts by pair of pieces are collected, whose number is bounded by the alphabet.
+    """
+    def without_piece(rows: DataFrame, name: str) -> DataFrame:
+        at = rows.where(F.length("what").between(4, 40)).select("what", "n", F.explode(F.sequence(F.lit(1), F.length("what"))).alias("i")).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+        at = at.where("i + k - 1 <= length(what) AND length(what) - k >= 3")
+        return at.select(F.expr("concat(substr(what, 1, i - 1), '\u0001', substr(what, i + k))").alias("rest"), F.expr("substr(what, i, k)").alias(name), F.col("n").alias(f"n_{name}"))
+
+    true = without_piece(words.where((F.col("n") >= RIGHT) & F.col("what").rlike("^[a-z]+$")), "true")
+    seen = without_piece(words.where(F.col("what").rlike("^[ -~£]+$")), "seen")
+    same_end = lambda f: f("seen") == f("true")
+    pairs = seen.join(true, "rest").where((F.col("n_true") >= TIMES * F.col("n_seen")) & ~same_end(lambda c: F.substring(c, 1, 1)) & ~same_end(lambda c: F.substring(c, -1, 1)) & (F.length("seen") + F.length("true") < 4))
+    counts = [(r["seen"], r["true"], r["n"]) for r in pairs.groupBy("seen", "true").agg(F.count("*").alias("n")).where(F.col("n") >= SHOWN).collect()]
+    most = max((n for _, _, n in counts), default=0)
+    return sorted((a, b) for a, b, n in counts if n >= SHOWN_SHARE * most)
+
+
+def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool], int, bool, tuple[tuple[str, str], ...]], DataFrame]:
+    """((common words with their counts, common lines with whether they are furniture, the highest count, whether these are all, confused pieces), table of all).
 
     The words and lines of any count, a line in 3 extractions at least, are in the table (kind, what, n). The common ones are of bounded size: a word
     must make up WORD_SHARE of all words (so there are at most 1 / WORD_SHARE of them), a line must stand in SHARE of the extractions.
@@ -467,6 +491,8 @@ def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool]
                             words = words[1:]
                         cut = line.rstrip()[-1:] in MARKS and bool(line.strip())
                         vocabulary.update(words[:-1] if cut else words)
+                        if MIXED.search(low):
+                            counts.update(("mixed", x) for x in MIXED.findall(low))
                         if lettered(line):
                             outer = min(k, len(lines) - 1 - k)
                             if outer >= DEPTH:
@@ -485,6 +511,7 @@ def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool]
     words = rows.where("kind = 'word'")
     top, distinct = words.agg(F.max("n"), F.count("*")).first()
     top = top or 0
+    confused = CONFUSED + tuple(x for x in confusions(rows.where("kind IN ('word', 'mixed')").select("what", "n")) if x not in CONFUSED)
     lines = rows.where("kind IN ('edge', 'inner')").groupBy("what").agg(F.sum(F.when(F.col("kind") == "edge", F.col("n")).otherwise(0)).alias("edge"), F.sum(F.when(F.col("kind") == "inner", F.col("n")).otherwise(0)).alias("inner"))
     lines = lines.where((F.col("edge") + F.col("inner") >= 3) & (F.col("edge") > 0))
     # All are handed out where they are no more than the floors let through.
@@ -493,20 +520,20 @@ def learn(extractions: DataFrame) -> tuple[tuple[dict[str, int], dict[str, bool]
     known = {r["what"]: r["edge"] > 4 * r["inner"] for r in lines.where(F.col("edge") + F.col("inner") >= F.lit(least_line)).toLocalIterator()}
     common = {r["what"]: r["n"] for r in words.where(F.col("n") >= F.lit(least_word)).toLocalIterator()}
     table = words.select("kind", "what", "n").unionByName(lines.select(F.lit("line").alias("kind"), "what", (F.col("edge") > 4 * F.col("inner")).cast("long").alias("n")))
-    return (common, known, top, least_word <= 1 and least_line <= 3), table
+    return (common, known, top, least_word <= 1 and least_line <= 3, confused), table
 
 
-def opened(batches: Iterator[pa.RecordBatch], learned: tuple[dict[str, int], dict[str, bool], int, bool]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[Document, Vocabulary, Lookups | dict]]]]:
+def opened(batches: Iterator[pa.RecordBatch], learned: tuple) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[Document, Vocabulary, Lookups | dict]]]]:
     """Each batch with its documents, their furniture found, and the vocabulary and lines to read them by."""
-    words, known, top, whole = learned
-    vocabulary = Vocabulary(words, top)
+    words, known, top, whole, confused = learned
+    vocabulary = Vocabulary(words, top, confused)
 
     def documents(batch: pa.RecordBatch) -> Iterator[tuple[Document, Vocabulary, Lookups | dict]]:
         given = [()] * len(batch) if whole else batch.column("more").to_pylist()
         for pages, more in zip(batch.column("pages").to_pylist(), given, strict=True):
             spelled, lines = vocabulary, known
             if not whole:
-                spelled = Vocabulary(Lookups(words, {x["what"]: x["n"] for x in more or () if x["kind"] == "word"}), top)
+                spelled = Vocabulary(Lookups(words, {x["what"]: x["n"] for x in more or () if x["kind"] == "word"}), top, confused)
                 lines = Lookups(known, {x["what"]: None if x["n"] is None else x["n"] > 0 for x in more or () if x["kind"] == "line"})
             document = document_of(pages)
             document.find_furniture(lines)

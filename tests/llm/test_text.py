@@ -359,3 +359,11 @@ def test_containers_are_nearly_full(spark):
     packed = packing.pack(frame(spark, list(enumerate(sizes)), "doc_id long, n int"), "doc_id", "n", len(sizes), group=3000)
     report = packing.fill_report(packed).first()
     assert report["n_items"] == len(sizes) and report["n_tokens"] == sum(sizes) and report["fill_rate"] > 0.99
+
+
+def test_confusions_are_learned_from_the_words(spark):
+    words = ["shall", "tested", "sealed", "install", "finish", "provide", "section"]
+    misread = ["sha7l", "sea7ed", "insta7l"] + ["te5ted", "in5tall", "fini5h", "5ection"]
+    rows = [(w, 500) for w in words] + [(w, 2) for w in misread] + [("shell", 400), ("sealer", 3), ("provider", 4), ("ab", 900)]
+    assert scans.confusions(frame(spark, rows, "what string, n long")) == [("5", "s"), ("7", "l")]
+    assert scans.confusions(frame(spark, [], "what string, n long")) == []
