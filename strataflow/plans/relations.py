@@ -122,7 +122,7 @@ def umbrella_callouts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("standards_rollup", """WITH c AS (SELECT DISTINCT ref_id, lower(source_spec_id) AS spec, lower(source_paragraph_id) AS anchor, upper(regexp_extract(trim(standard_code), '^(\\S+)\\s', 1)) AS org, trim(regexp_extract(trim(standard_code), '^\\S+\\s+(.*)$', 1)) AS code FROM spec_references WHERE target_type = 'standard' AND standard_code IS NOT NULL),
 k AS (SELECT org, regexp_extract(code, '^([0-9]+)', 1) AS number, max(code) AS newest FROM c GROUP BY ALL)
-SELECT c.org, c.code, count(*) AS n_citations, count(DISTINCT spec) AS n_specs, least(count(DISTINCT anchor), 50) AS n_anchors, count(DISTINCT anchor) > 50 AS truncated, k.newest, c.code <> k.newest AS superseded
+SELECT c.org, c.code, count(*) AS n_citations, count(DISTINCT spec) AS n_specs, count(DISTINCT anchor) AS n_anchors, least(count(DISTINCT anchor), 50) AS n_shown, count(DISTINCT anchor) > 50 AS truncated, k.newest, c.code <> k.newest AS superseded
 FROM c JOIN k ON k.org = c.org AND k.number = regexp_extract(c.code, '^([0-9]+)', 1) GROUP BY ALL""")
 def standards_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Citations of each standard with the newest edition of its number; the register of editions is an aggregate of the citations."""
@@ -133,7 +133,7 @@ def standards_rollup(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract("code", "^([0-9]+)", 1)
     rolled = cited.groupBy("org", "code").agg(F.count("*").alias("n_citations"), F.countDistinct("spec").alias("n_specs"), F.countDistinct("anchor").alias("_anchors")).withColumn("number", number)
     newest = rolled.groupBy("org", "number").agg(F.max("code").alias("newest"))
-    return rolled.join(newest, ["org", "number"]).select("org", "code", "n_citations", "n_specs", F.least("_anchors", F.lit(50)).alias("n_anchors"), (F.col("_anchors") > 50).alias("truncated"), "newest", (F.col("code") != F.col("newest")).alias("superseded"))
+    return rolled.join(newest, ["org", "number"]).select("org", "code", "n_citations", "n_specs", F.col("_anchors").alias("n_anchors"), F.least("_anchors", F.lit(50)).alias("n_shown"), (F.col("_anchors") > 50).alias("truncated"), "newest", (F.col("code") != F.col("newest")).alias("superseded"))
 
 
 @query("latest_boundary", CTE + "SELECT owner, arg_max(spec_id, struct_pack(a := content_version, b := created_at, c := spec_id)) AS spec_id, max(content_version) AS content_version FROM s GROUP BY owner")

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a folder of our own
-under the warehouse directory is taken. A staged table cuts the lineage, survives the loss of executors and is read back with exact statistics.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests on one machine, a temporary
+folder of our own is taken; on a cluster an unset folder is an error. A staged table cuts the lineage, survives the loss of executors and is read back with exact statistics.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session, else one beside the warehouse (local runs only)."""
+    """The shared folder named by the session, else a temporary one (local runs only)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
