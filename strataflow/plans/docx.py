@@ -19,14 +19,14 @@ w AS (SELECT *, list_position(['part', 'article', 'pr1', 'pr2', 'pr3', 'pr4', 'p
 """
 
 
-def written(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_id, content): each spec as a DOCX file. Every second sibling is numbered by itself, the others by their styles; notes have a style of their own."""
+def written(spark: SparkSession, folder: str, controls: bool = False) -> DataFrame:
+    """(source_id, content): each spec as a DOCX file, on demand with each paragraph but notes in a content control. Every second sibling is numbered by itself, the others by their styles; notes have a style of their own."""
     rows = nodes(spark, folder)
     extra = table(spark, folder, "paragraphs").groupBy(F.lower("paragraph_id").alias("id")).agg(F.max(F.size(F.coalesce("comments", F.expr("cast(array() AS array<struct<author: string, text: string, closed: boolean>>)")))).alias("_n"), F.max_by("comments", F.when(F.col("comments").isNotNull(), F.size("comments"))).alias("comments"))
     places = O.carried(rows, O.preorder(), O.own("vanish"), O.own("type"), O.own("position")).select("id", "root_id", F.col("sort_key").alias("key"), "vanish", "type", "position")
     roots = rows.select(F.col("id").alias("root_id"), F.col("spec").alias("source_id"), F.col("spec_section").alias("section"))
     lines = places.join(rows.select("id", "text"), "id").join(roots, "root_id").join(extra.select("id", "comments"), "id", "left").where("source_id IS NOT NULL")
-    lines = lines.select("source_id", "section", "key", L.level_of(F.col("type")).alias("level"), "text", (F.coalesce("position", F.lit(0)) % 2 == 0).alias("direct"), "vanish", F.coalesce(F.col("type") == "note", F.lit(False)).alias("note"), "comments")
+    lines = lines.select("source_id", "section", "key", L.level_of(F.col("type")).alias("level"), "text", (F.coalesce("position", F.lit(0)) % 2 == 0).alias("direct"), "vanish", F.coalesce(F.col("type") == "note", F.lit(False)).alias("note"), "comments", *([F.when(F.col("type") != "note", F.col("id")).alias("id")] if controls else []))
     titles = table(spark, folder, "specs").groupBy(F.lower("spec_id").alias("source_id")).agg(F.max("title").alias("title"))
     return docx_documents(lines, titles)
 
@@ -53,9 +53,17 @@ def docx_inference(spark: SparkSession, folder: str) -> DataFrame:
 @query("docx_parts", _WRITTEN + f"""c AS (SELECT spec, count(*) AS n, sum(length({_CLEAN.format(c="x.text")})) AS k FROM (SELECT l.spec, unnest(cm) AS x FROM l JOIN (SELECT lower(paragraph_id) AS id, arg_max(comments, len(comments)) AS cm FROM paragraphs GROUP BY 1) USING (id)) WHERE x IS NOT NULL GROUP BY spec),
 s AS (SELECT spec, max(section) AS section, max(title) AS title FROM (SELECT l.spec, n.spec_section AS section FROM l JOIN n ON n.id = l.root_id) LEFT JOIN (SELECT lower(spec_id) AS spec, max(title) AS title FROM specs GROUP BY 1) USING (spec) GROUP BY spec)
 SELECT spec AS source_id, 'comment' AS place, n AS n_rows, coalesce(k, 0)::BIGINT AS n_chars FROM c UNION ALL SELECT spec, 'header', 1, length(trim('SECTION ' || coalesce(section, '')))::BIGINT FROM s UNION ALL SELECT spec, 'footer', 1, length({_CLEAN.format(c="title")})::BIGINT FROM s WHERE {_CLEAN.format(c="title")} <> ''
-UNION ALL SELECT spec, 'property', 2, (length({_CLEAN.format(c="coalesce(title, '')")}) + length(coalesce(section, '')))::BIGINT FROM s UNION ALL SELECT spec, 'body', count(*), sum(length(tx))::BIGINT FROM w GROUP BY spec
+UNION ALL SELECT spec, 'property', 2, (length({_CLEAN.format(c="coalesce(title, '')")}) + length(coalesce(section, '')))::BIGINT FROM s UNION ALL SELECT spec, p.place, count(*), sum(length(tx))::BIGINT FROM w, (VALUES ('body'), ('orphan')) AS p(place) GROUP BY ALL
 UNION ALL SELECT spec, 'table', 2 * count(*), sum(4 + length(coalesce(tx, '')))::BIGINT FROM l WHERE type = 'part' GROUP BY spec""")
 def docx_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and characters of each place of the written files."""
     facts = docx_facts(written(spark, folder))
     return facts.groupBy("source_id", "place").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+
+
+@query("docx_controls", _WRITTEN + f"""c AS (SELECT spec, type, id, tx, max(CASE WHEN type <> 'note' THEN sort_key END) OVER (PARTITION BY spec ORDER BY sort_key) AS last_key FROM (SELECT spec, type, id, sort_key, coalesce(tx, '') AS tx FROM l))
+SELECT spec AS source_id, id AS uuid, 'control' AS kind, md5(tx) AS text_hash FROM c WHERE type <> 'note' UNION ALL SELECT c.spec, k.id, 'orphan', md5(c.tx) FROM c LEFT JOIN l AS k ON k.sort_key = c.last_key AND k.spec = c.spec WHERE c.type = 'note' AND c.tx <> ''""")
+def docx_controls(spark: SparkSession, folder: str) -> DataFrame:
+    """Returned documents: the text of each controlled paragraph, and paragraphs outside of controls with the one that they follow."""
+    facts = docx_facts(written(spark, folder, controls=True)).where("place IN ('control', 'orphan')")
+    return facts.select("source_id", F.col("style").alias("uuid"), F.col("place").alias("kind"), F.md5("text").alias("text_hash"))

@@ -114,6 +114,23 @@ def _text(element: ET.Element) -> str:
     return _clean("".join(t.text or "" if t.tag == f"{W}t" else " " for t in element.iter() if t.tag in (f"{W}t", f"{W}tab", f"{W}br")))
 
 
+def _controls(body: ET.Element) -> list[dict]:
+    """Tagged content controls (style: the tag) with their texts, paragraphs outside of any (orphan; style: the control before it), and tracked insertions and deletions (style: ins or del)."""
+    rows, after = [], None
+    for child in body:
+        if child.tag == f"{W}sdt":
+            tag = _value(child, "sdtPr/tag")
+            content = child.find(f"{W}sdtContent")
+            if tag and content is not None:
+                after = tag.lower()
+                rows.append({"place": "control", "style": after, "text": _text(content)})
+        elif child.tag == f"{W}p" and (text := _text(child)):
+            rows.append({"place": "orphan", "style": after, "text": text})
+    for kind in ("ins", "del"):
+        rows += [{"place": "tracked", "style": kind, "author": c.get(f"{W}author"), "text": _clean("".join(t.text or "" for t in c.iter() if t.tag in (f"{W}t", f"{W}delText")))} for c in body.iter(f"{W}{kind}")]
+    return rows
+
+
 def docx_rows(raw: bytes) -> list[dict]:
     """One row for each paragraph of the body with text, cell of a table, header, footer, comment and property; those of a place are numbered from 0."""
     parts = open_docx(raw)
@@ -137,6 +154,7 @@ def docx_rows(raw: bytes) -> list[dict]:
             "vanish": bool(own) or bool(runs) and all(styles.vanishes(style) if h is None else h for h in hidden), "note_style": styles.for_notes(style), "marked": any(_value(r, "rPr/highlight") not in (None, "none") for r in runs),
             "n_drawings": len(p.findall(f".//{W}drawing")), "article_ilvl": numbering.article_ilvl, "spec_shaped": id_ in numbering.spec_shaped,
         })
+    rows += _controls(body)
     rows += [{"place": "table", "text": _text(c)} for t in body.iter(f"{W}tbl") for c in t.iter(f"{W}tc")]
     for name in sorted(parts):
         if m := re.fullmatch(r"word/(header|footer)\d*\.xml", name):
@@ -177,7 +195,7 @@ def _xml(text: str | None) -> str:
 
 
 def write_docx(title: str | None, section: str | None, lines: list[dict]) -> bytes:
-    """A DOCX package. Lines have level (null: not numbered), text, direct (numbered by itself, else by its style), vanish, note and comments (author, text, closed); parts are listed in a table."""
+    """A DOCX package. A line with an id is wrapped in a content control tagged with it. Lines have level (null: not numbered), text, direct (numbered by itself, else by its style), vanish, note and comments (author, text, closed); parts are listed in a table."""
     levels = "".join(f'<w:lvl w:ilvl="{n}"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:pStyle w:val="Level{n}"/><w:lvlText w:val="{"PART %1 -" if n == 0 else f"%{n + 1}."}"/></w:lvl>' for n in range(9))
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Level{n}"><w:name w:val="Level {n}"/><w:pPr><w:numPr><w:ilvl w:val="{n}"/><w:numId w:val="1"/></w:numPr></w:pPr></w:style><w:style w:type="paragraph" w:styleId="Own{n}"><w:name w:val="Own {n}"/><w:basedOn w:val="Level{n}"/></w:style>' for n in range(9))
     styles += '<w:style w:type="paragraph" w:styleId="Note"><w:name w:val="Specifier Note"/></w:style>'
@@ -189,7 +207,10 @@ def write_docx(title: str | None, section: str | None, lines: list[dict]) -> byt
         elif level is not None:
             props += (f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="1"/></w:numPr>' if line["direct"] else f'<w:pStyle w:val="Own{level}"/>') + f'<w:ind w:left="{576 * level}"/>'
         run = "<w:rPr><w:vanish/></w:rPr>" if line["vanish"] else ""
-        body.append(f'<w:p><w:pPr>{props}</w:pPr><w:r>{run}<w:t xml:space="preserve">{_xml(line["text"])}</w:t></w:r></w:p>')
+        written = f'<w:p><w:pPr>{props}</w:pPr><w:r>{run}<w:t xml:space="preserve">{_xml(line["text"])}</w:t></w:r></w:p>'
+        if line.get("id"):
+            written = f'<w:sdt><w:sdtPr><w:tag w:val={quoteattr(_ILLEGAL.sub("", line["id"]))}/></w:sdtPr><w:sdtContent>{written}</w:sdtContent></w:sdt>'
+        body.append(written)
         for c in line["comments"] or ():
             if c is not None:
                 comments.append(f'<w:comment w:id="{len(comments)}" w:author={quoteattr(_ILLEGAL.sub("", c["author"] or ""))} w:done="{int(bool(c["closed"]))}"><w:p><w:r><w:t xml:space="preserve">{_xml(c["text"])}</w:t></w:r></w:p></w:comment>')
@@ -216,8 +237,8 @@ def write_docx(title: str | None, section: str | None, lines: list[dict]) -> byt
 
 
 def docx_documents(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """(source_id, content) of each document, from (source_id, section, key, level, text, direct, vanish, note, comments) ordered by the key, and (source_id, title). A document's lines meet in one row: the row is the document."""
-    line = F.struct("key", "level", "text", "direct", "vanish", "note", "comments")
+    """(source_id, content) of each document, from (source_id, section, key, level, text, direct, vanish, note, comments[, id]) ordered by the key, and (source_id, title). A document's lines meet in one row: the row is the document."""
+    line = F.struct("key", "level", "text", "direct", "vanish", "note", "comments", *[c for c in ("id",) if c in lines.columns])
     whole = lines.groupBy("source_id").agg(F.max("section").alias("section"), F.array_sort(F.collect_list(line), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("lines")).join(titles, "source_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
