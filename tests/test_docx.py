@@ -51,7 +51,7 @@ def test_bad_files_are_rows(spark):
     bomb = package("", **{"a.xml": f"<!DOCTYPE x><w:x {NS}/>"})
     files = [("ok", package(paragraph("text"))), ("no", b"not a zip"), ("empty", None), ("bomb", bomb)]
     found = {(r["source_id"], r["place"]) for r in D.docx_facts(frame(spark, files, "source_id string, content binary")).collect()}
-    assert found == {("ok", "body"), ("no", "error"), ("empty", "error"), ("bomb", "error")}
+    assert found == {("ok", "body"), ("ok", "orphan"), ("no", "error"), ("empty", "error"), ("bomb", "error")}
     assert D.docx_facts(frame(spark, [], "source_id string, content binary")).count() == 0
 
 
