@@ -18,7 +18,7 @@ from strataflow.storage import discard, new_path
 
 SEPARATOR = "/"
 #: Levels that are walked one by one.
-LEVELS = 24
+LEVELS = 10
 
 
 class Carried(NamedTuple):
