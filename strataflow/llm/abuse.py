@@ -52,17 +52,17 @@ LEXICON: tuple[tuple[str, float, str], ...] = (
     ("insult", 1.0, "you (|are a |are an |are just a |are such a |are nothing but a |fat |filthy |lazy |stupid |dirty |lying |slimy |little |old |ugly |bloody |dumb |useless |worthless ){low}|you (are|look) (stupid|dumb|pathetic|disgusting|worthless|ugly|brainless|a joke|retarded|subhuman)"),
     ("insult", 0.7, "{adj} {low}|(is|be|being) (a|an|such a) {low}|(such|what) (a|an) {low}|a {low} like (that|this|him|her|you)|than (a|an|every|any) {low}|every {low}|signed by a {low}|like a {low}"),
     ("insult", 0.7, "brainless|gutless|spineless|stupid|retard|retarded|moronic|idiotic|scum|trained monkey|go to hell|nobody (likes|loves|wants) you|everyone (hates|despises) you|no one (likes|wants) you|smarter things than|more brains than|fewer brains than"),
-    ("insult", 0.5, "do us all a favor|do everyone a favor|crawl back|stop breathing|off my (boots|boot|shoe|shoes)|what kind of|what sort of|ashamed of|your (own family|mother|father|parents)|on the head as a baby|go to hell nobody|make me (sick|puke|vomit)|you disgust me|i (hate|despise) you"),
+    ("insult", 0.5, "do us all a favor|do everyone a favor|crawl back|stop breathing|off my (boots|boot|shoe|shoes)|what kind of|what sort of|ashamed of|your (own family|mother|father|parents)|as a baby|make me (sick|puke|vomit)|you disgust me|i (hate|despise) you"),
     ("insult", 0.5, "worthless|slimy|filthy|dumb|pathetic|crooked|useless|rotten|stinking|loser|losers|parasite|cockroach|vermin|clown|clowns|rat|pig|fool|garbage|crap|shit|shitty|ass|bullshit|lazy|ugly|weasel|maggot|worm|leech|swine|scumbags|coward|disgrace"),
-    ("insult", 0.3, "knows it|same as always|of yours|like that around|a hobby|ever let onto|lot of you|bunch of|whoever (drew|wrote|signed|did)|the fool who|even your|damn|hell|lying|monkey"),
-    ("insult", 1.0, "you people are|always be garbage|you are (nothing|garbage|trash|scum|vermin|filth|a waste|too stupid|so stupid|so dumb)|nobody (would|will) miss you|better off without you"),
+    ("insult", 0.3, "of yours|like that|lot of you|bunch of|whoever (drew|wrote|signed|did)|the fool who|even your|damn|hell|lying|monkey"),
+    ("insult", 1.0, "you people are|(will|shall) always be (garbage|trash|scum|nothing)|you are (nothing|garbage|trash|scum|vermin|filth|a waste|too stupid|so stupid|so dumb)|nobody (would|will) miss you|better off without you"),
     ("threat", 1.0, "(i|we) (will|shall|am going to|are going to|would love to|should|am gonna|want to) {kill} {them}|(will|gonna|going to) (kill|murder|strangle|stab) {them}|{kill} you|(you|he|she|they) (will|should|must) (die|bleed|burn|suffer|hang)"),
     ("threat", 1.0, "{harm} (your|his|her|their|every|some) {body}|{harm} every bone|break (some|a few|all your) (bones|legs|fingers)|(make|watch) (you|him|her|them) (suffer|bleed|beg|pay|scream|burn)|beat (you|him|her|them) (up|senseless|to death|to a pulp)|beat the (hell|shit|crap) out"),
     ("threat", 1.0, "know where (you|your family|your kids) (live|lives|sleep|work)|watch your back|you will regret|wipe you out|put you in (hospital|the hospital|the ground|a coffin)|you are (a dead man|dead|dead meat|finished)|dead man walking|(end|take) your life|bullet in (your|his|her)|last thing you (see|do)"),
     ("threat", 1.0, "(kill|hang|shoot|hurt|drown|cut) yourself|go (die|and die|hang yourself)|(hope|wish) (you|he|she|they) (die|dies|died|choke|burn|get cancer|get hit|fall off|suffer|rot)|slit your wrists|jump off a (bridge|roof|building)"),
     ("threat", 0.6, "(ought|deserve|deserves|needs|want|wants) to (beat|be beaten|be shot|die|be hanged|suffer|bleed)|you have been warned|swear i will|pray that|better pray|better hope|be a shame if|next time you touch|come after you|coming for you"),
     ("threat", 0.6, "senseless|to a pulp|black and blue|never alone|is all it takes|accidents happen|see what happens|lights out|six feet under|sleep with the fishes"),
-    ("threat", 0.4, "if i see|wait until|over your head|remember that|your face|your whole crew|will smash|again i will|next time you|i will find|i will make"),
+    ("threat", 0.4, "if i see|wait until|over (your|his|her) head|remember (that|this)|your face|your whole crew|will smash|next time you|i will find|i will make"),
     ("hate", 1.0, "{group} are {base}|(are|is) (subhuman|an inferior race|born thieves|born criminals|born liars)|{group} are (always|all|just|nothing but) {base}|hate (all |)(women|immigrants|foreigners|jews|muslims|blacks|gays|arabs|christians)"),
     ("hate", 1.0, "(do|does) not deserve to (live|exist|breathe|breed)|(should|must|to|would) be (exterminated|gassed|castrated|wiped out|deported like animals|lynched|put down)|go back (where|to where|to your)|(back|belong) (to|in) the kitchen|death to (all |)|gas the|kill all|dirty (foreigners|immigrants|jews|arabs|gypsies|mexicans)"),
     ("hate", 1.0, "nigger|niggers|faggot|faggots|kike|kikes|spic|spics|chink|chinks|gook|wetback|raghead|towelhead|tranny|paki|pakis|darkie|subhuman|subhumans|untermensch|mongoloid|spastic"),
@@ -74,8 +74,8 @@ LEXICON: tuple[tuple[str, float, str], ...] = (
     ("sexual", 1.0, "horny|slut|sluts|whore|whores|blowjob|blow job|handjob|gangbang|porn|porno|pornographic|masturbate|masturbating|jerk off|jerking off|orgasm|cumshot|dildo|milf|deepthroat|erotic massage|dick pic|dick pics|nudes|threesome|rape|raped|rapist|molest|molested"),
     ("sexual", 1.0, "(take|rip|tear) (your|her|his) (clothes|shirt|pants|bra|panties|dress) off|take off your (clothes|shirt|pants|bra|panties|dress)|(nude|naked) {picture}|(want|like|love|picture|imagine) (you|her|him) naked|send (me |)(nudes|naked|nude)|(get|getting) (you|her|him) (naked|into bed|in bed)"),
     ("sexual", 1.0, "{sex} (her|him|your|me)|(nice|great|big|huge|sweet|your|her|those|my|fat|tight|wet) {bits}|suck (my|his|her|your)|(touch|grab|squeeze|lick|feel|pinch) (your|her|his|my) {bits}|do her (right|hard|good)|(sleep|sex) with (me|you|her)|have sex|wet pussy|hard cock|in my bed|inside her|ride my"),
-    ("sexual", 0.7, "sexy|tits|boobs|undress|moan louder|hear you moan|moaning|bend over|bending over|what is under my|how hard (he|she|i) would|dirty little|your ass|do for me|dreaming about what|bet you moan"),
-    ("sexual", 0.4, "naked|sweetheart|gladly show|let me find out|baby|moan|in my (trailer|room|office|truck|hotel room|hotel)|what you have to do|in those (jeans|pants|shorts|leggings)|watching you|all night|lingerie|bedroom|kiss"),
+    ("sexual", 0.7, "sexy|tits|boobs|undress|(hear|make) (you|her|him) moan|moaning|bend over|bending over|what is under my|how hard (he|she|i) would|dirty little|your ass|do for me|dreaming about what|bet you moan"),
+    ("sexual", 0.4, "naked|sweetheart|(gladly|happily|love to) show (you|her|him)|baby|moan|in my (trailer|room|office|truck|hotel room|hotel)|what you have to do|in those (jeans|pants|shorts|leggings)|watching you|all night|lingerie|bedroom|kiss"),
 )
 # Phrases of the trade and of reports in which the words mean no harm.
 EXCEPTIONS = """naked flame|naked flames|naked light|naked lights|naked eye|naked conductor|naked conductors|naked cable|rat guard|rat guards|rat slab|rat slabs|rat trap|rat run|pig launcher|pig launchers|pig receiver|pig receivers|pig iron|pig tail|pig trap|monkey board|monkey wrench|
