@@ -100,6 +100,12 @@ def search_top(spark: SparkSession, folder: str) -> DataFrame:
     return S.counted(rows(spark, folder), "drains membrane").select("paragraph_id", "section", "n_hits")
 
 
+@query("search_either", f"""WITH {_P}, t AS (SELECT paragraph_id, section, text, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS t FROM p WHERE lower(text) LIKE '%gasket%' OR lower(text) LIKE '%membrane%'), w AS (SELECT paragraph_id, section, {STEM_SQL} AS stem FROM t)
+SELECT paragraph_id, section, count(*) AS n_hits FROM w WHERE stem IN ('gasket', 'membrane') GROUP BY ALL ORDER BY n_hits DESC, section, paragraph_id LIMIT 20""".replace("count(*) AS n_hits", "count(*)::INTEGER AS n_hits"))
+def search_either(spark: SparkSession, folder: str) -> DataFrame:
+    return S.counted(rows(spark, folder), "gaskets or membrane").select("paragraph_id", "section", "n_hits")
+
+
 @query("search_covers")
 def search_covers(spark: SparkSession, folder: str) -> DataFrame:
     return S.cover_ranked(rows(spark, folder), '"basis of design" sealant -chapel')

@@ -51,3 +51,15 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_search_with_alternatives(spark):
+    from strataflow.operators import search as S
+
+    texts = {"a": "Seal the drains and the membrane", "b": "Gaskets only", "c": "drain pan", "d": "membrane, final payment, drain", "e": "final the payment", "f": None, "g": ""}
+    table = spark.createDataFrame([(k, "s", t) for k, t in texts.items()], "paragraph_id string, section string, text string")
+    found = lambda q: {r["paragraph_id"] for r in S.matching(table, q).collect()}
+    assert found("drain membrane") == found("Drains MEMBRANE") == {"a", "d"} and found("gasket or drain membrane") == {"a", "b", "d"} and found("drain -membrane") == {"c"}
+    assert found('"final payments" or gaskets') == {"b", "d"} and found("-drain") == found("or") == found("") == set()
+    assert [r["paragraph_id"] for r in S.cover_ranked(table, "drain membrane or gasket").collect()] == ["b", "a", "d"]
+    assert S.cover_ranked(table, "").count() == 0 and [r["n_hits"] for r in S.counted(table, "drain or gasket").collect()] == [1, 1, 1, 1]
